@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from motionlake.functions.chunked import first_delivery, null_safe_join, with_position
 from motionlake.operators.regular_grid import SOURCE, usable_readings
 
-CHUNK, HALO, PROFILE = 4096, 24, 16
+CHUNK, HALO = 4096, 24
+#: Width and offset of the profile matrices: a spike that one layout takes for normal stands out in another.
+PROFILES = ((16, 0), (16, 8), (8, 4))
 COORDS = ("x", "y", "conf")
 
 
@@ -53,11 +55,14 @@ def spike_candidates(v: np.ndarray, limit: float) -> np.ndarray:
         return np.zeros(n, bool)
     if limit == 0:
         return known
-    rows = -(-n // PROFILE)
     filled = v[np.maximum.accumulate(np.where(known, np.arange(n), int(known.argmax())))]
-    m = np.concatenate([filled, np.full(rows * PROFILE - n, filled[-1])]).reshape(rows, PROFILE)
-    m = m - np.median(m, axis=1, keepdims=True)
-    return (np.abs(low_rank_and_sparse(m, 0.3 * limit)) > 0.1 * limit).ravel()[:n] & known
+    out = np.zeros(n, bool)
+    for width, shift in PROFILES:
+        padded = np.concatenate([np.full(shift, filled[0]), filled, np.full(-(n + shift) % width, filled[-1])])
+        m = padded.reshape(-1, width)
+        m = m - np.median(m, axis=1, keepdims=True)
+        out |= (np.abs(low_rank_and_sparse(m, 0.3 * limit)) > 0.1 * limit).ravel()[shift : shift + n]
+    return out & known
 
 
 def exact_spikes(v: np.ndarray, limit: float, candidate: np.ndarray) -> np.ndarray:
