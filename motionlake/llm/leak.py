@@ -103,6 +103,9 @@ class _Side:
         if not self.items or len(units) < self.piece:
             return best
         text = self._text(units)
+        hits = list(self.automaton.iter(text))
+        if not hits:
+            return best
         if self.glue:
             start_of, at = {}, 1
             for i, u in enumerate(units):
@@ -110,7 +113,7 @@ class _Side:
                 at += len(u) + 1
         seen: set[tuple[int, int]] = set()
         done: dict[tuple[int, int], int] = {}
-        for end, where in self.automaton.iter(text):
+        for end, where in hits:
             for k, at in where:
                 item = self.items[k][1]
                 if self.glue:
@@ -143,6 +146,10 @@ class _Side:
                             continue
                         seen.add((k, s + 1_000_000 * (i - at + 1)))
                         lo, hi = max(0, s + shift - self.errors), s + shift + self.window + self.errors
+                        if self.glue:  # an edit changes at most two words
+                            there = set(units[lo:hi])
+                            if sum(x not in there for x in item[s : s + self.window]) > 2 * self.errors:
+                                continue
                         passage = self.glue.join(item[s : s + self.window])
                         edits = myers(passage, self.glue.join(units[lo:hi]))
                         if edits <= self.errors and (found is None or edits < found[2]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import leak, mixing, runs, sentences
+from motionlake.llm import grid_clusters, leak, mixing, neighbours, runs, sentences, vectors
 from motionlake.session import read_table
 
 
@@ -18,6 +18,31 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(read_table(spark, d, "features"), ["handle", "take"], "frame", ["flag", "mask"])
 
 
+DIM = 48
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.usable_vectors(read_table(spark, d, "features"), ["handle", "take", "frame"], "row_id", "data", DIM)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d), 0.99, DIM).select("row_id_a", "row_id_b")
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20, against all rows."""
+    v = _vectors(spark, d)
+    return neighbours.nearest(v, v.filter("row_id % 20 = 0"), 5, DIM).select("query_id", "rank", "row_id", F.round("cosine", 4).alias("cosine"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return grid_clusters.cluster(_vectors(spark, d), DIM).select("cluster_row_id", "row_id")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grid_clusters.describe(grid_clusters.cluster(_vectors(spark, d), DIM))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).filter("exact").select("doc_id", "item_id")
 
@@ -43,5 +68,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p6_found, p6_nearest, p7_found, p7_groups, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_sentences)}
 SQL: dict[str, str] = {}
