@@ -1,7 +1,7 @@
 """Schemas that drift between files: detect added, removed, renamed and retyped fields, and unify.
 
-Each field of each file is profiled (counts per lexical type, moments, trend over the file and a
-quantile sketch of its numeric part). Fields that vanish and fields that appear between a file and
+Each field of each file is profiled (counts per lexical type, moments, trend over the file and range of
+its numeric part: plain sums and extremes, so the aggregation stays hash-based and pre-combines). Fields that vanish and fields that appear between a file and
 the one before it in its feed are matched by minimum-cost bipartite assignment on value sketch and
 name similarity; pairs of one point that are similar enough are renames. Rename links are then
 followed back by pointer jumping, so that every field gets the name it had first.
@@ -71,11 +71,13 @@ def profile_fields(cells: DataFrame) -> DataFrame:
         F.stddev_pop("num").alias("std"),
         F.covar_pop("line_no", "num").alias("_cov"),
         F.stddev_pop(F.when(F.col("num").isNotNull(), F.col("line_no"))).alias("_std_line"),
-        F.percentile_approx("num", [0.05, 0.25, 0.5, 0.75, 0.95], 200).alias("quantiles"),
+        F.min("num").alias("_least"),
+        F.max("num").alias("_most"),
     )
     p = p.withColumn("trend", F.try_divide(F.col("_cov"), F.col("_std_line") * F.col("std")))  # correlation with the line number
+    p = p.withColumn("shape", F.array("_least", F.col("mean") - F.col("std"), "mean", F.col("mean") + F.col("std"), "_most"))
     kind = F.when(F.col("n_long") == F.col("n"), "long").when(F.col("n_num") == F.col("n"), "double").otherwise("string")
-    return p.select("file_id", F.struct("field", "pos", kind.alias("kind"), "n_sketch", "mean", "std", "trend", "quantiles").alias("p"))
+    return p.select("file_id", F.struct("field", "pos", kind.alias("kind"), "n_sketch", "mean", "std", "trend", "shape").alias("p"))
 
 
 def file_profiles(profiles: DataFrame, files: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def _sketch_similarity(a, b) -> float:
         return 0.0
     if all(rises):
         return 1.0
-    qa, qb = (np.array(x["quantiles"], float) for x in (a, b))
+    qa, qb = (np.array(x["shape"], float) for x in (a, b))
     width = max(qa[4] - qa[0], qb[4] - qb[0], 1e-9 + 0.05 * max(abs(qa[2]), abs(qb[2])))
     shape = math.exp(-float(np.abs(qa - qb).mean()) / width)
     scale = math.exp(-abs(math.log((abs(a["mean"]) + 1e-6) / (abs(b["mean"]) + 1e-6))) / 2)
