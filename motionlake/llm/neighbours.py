@@ -31,7 +31,8 @@ from motionlake.llm import vectors as V
 from motionlake.session import materialise
 
 ROTATIONS = 10
-TABLES, MODE_TABLES = 12, 40
+#: Chance that a pair of just the sought similarity shares no substring, as far as the bits allow.
+MISS = 1e-3
 BUCKET_FILL, BUCKET_ROWS = 64, 4096
 MODE_NEAR = 0.8
 #: Copies of one vector beyond this many are linked to their representative only.
@@ -59,10 +60,10 @@ class Coder:
         self.width, self.tables, self.radius = [], [], []
         chord = math.sqrt(2 - 2 * min_cos)
         for j, (share, rho) in enumerate(zip(shares, spread)):
-            tables = MODE_TABLES if j else TABLES
             p = math.acos(min_cos) / math.pi if j == 0 else 2 * math.asin(min(1.0, chord / (2 * max(rho, chord / 2)))) / math.pi
-            self.width.append(int(min(bits // tables, 40, max(4, math.ceil(math.log2(max(n * share, 2) / BUCKET_FILL))))))
-            self.tables.append(tables)
+            w = int(min(40, max(4, math.ceil(math.log2(max(n * share, 2) / BUCKET_FILL)))))
+            self.width.append(w)
+            self.tables.append(int(min(bits // w, max(2, math.ceil(math.log(MISS) / math.log1p(-min((1 - p) ** w, 1 - 1e-9)))))))
             self.radius.append(math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)) + 1))
 
     def spaces(self, x: np.ndarray) -> list[np.ndarray]:
@@ -130,8 +131,9 @@ def bucket_pairs(index: DataFrame, coder, bucket_rows: int = BUCKET_ROWS) -> Dat
     """(a, b): distinct pairs a < b that share a substring and lie within the Hamming radius."""
     each = index.select("row_id", "code", F.explode("keys").alias("key"))
     full = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
-    full = full.select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
-    each = each.join(full, "key", "left")
+    # written, so that its size is known and the rows are shuffled for the join only if it is large
+    full = materialise(full.select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
+    each = each.withColumn("parts", F.lit(None).cast("int")) if full.isEmpty() else each.join(full, "key", "left")
     own = F.pmod(F.xxhash64("row_id"), F.coalesce("parts", F.lit(1)))
     # a row of part i meets every part j in the task (min, max); task 0 of a small bucket holds it all
     each = each.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
@@ -182,9 +184,11 @@ def _with_cosine(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
 
 
 def classes(vecs: DataFrame) -> DataFrame:
-    """(row_id, v, rep, copies): each vector with the smallest row_id of its exact copies."""
-    reps = vecs.groupBy("v").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return vecs.join(reps, "v").select("row_id", "v", "rep", "copies")
+    """(row_id, v, rep, copies): each vector with the smallest row_id of its exact copies (128-bit hash of the values)."""
+    keyed = vecs.withColumns({"_h": F.xxhash64("v"), "_g": F.xxhash64(F.lit(1), "v")})
+    several = keyed.groupBy("_h", "_g").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    joined = keyed.join(materialise(several), ["_h", "_g"], "left")
+    return joined.select("row_id", "v", F.coalesce("rep", "row_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def similar_pairs(vecs: DataFrame, min_cos: float, dim: int, expand: int = EXPAND_COPIES) -> DataFrame:
@@ -193,13 +197,14 @@ def similar_pairs(vecs: DataFrame, min_cos: float, dim: int, expand: int = EXPAN
     Copies of one vector beyond ``expand`` are linked to their representative and stand for it otherwise.
     """
     spark = vecs.sparkSession
-    members = materialise(classes(vecs))
+    members = materialise(classes(materialise(vecs.select("row_id", "v"))))
     reps = members.filter("row_id = rep").select("row_id", "v")
     n = reps.count()
     coder = spark.sparkContext.broadcast(Coder(V.sample(reps, dim), dim, n, min_cos))
     index = materialise(_indexed(reps, coder))
-    links = _with_cosine(bucket_pairs(index, coder), reps).filter(F.col("cosine") >= min_cos)
-    several = members.filter("copies > 1").select("rep", "row_id", "copies")
+    links = _with_cosine(materialise(bucket_pairs(index, coder)), reps).filter(F.col("cosine") >= min_cos)
+    several = materialise(members.filter("copies > 1").select("rep", "row_id", "copies"))
+    links = materialise(links)
     shown = several.filter((F.col("copies") <= expand) | (F.col("row_id") == F.col("rep")))
     a = shown.select(F.col("rep").alias("a"), F.col("row_id").alias("ma"))
     b = shown.select(F.col("rep").alias("b"), F.col("row_id").alias("mb"))
