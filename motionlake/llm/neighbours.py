@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from motionlake.llm import vectors as V
 from motionlake.session import materialise
 
-ROTATIONS = 10
+#: Bits of a code at least; whole rotations of the vector's dimension.
+BITS = 480
 #: Chance that a pair of just the sought similarity shares no substring, as far as the bits allow.
 MISS = 1e-3
 BUCKET_FILL, BUCKET_ROWS = 64, 4096
@@ -52,15 +53,18 @@ class Coder:
         if len(self.modes):
             inside = sample @ self.modes.T >= MODE_NEAR
             shares += inside.mean(axis=0).tolist()
-            spread += [float(np.median(np.linalg.norm(sample[inside[:, j]] - c, axis=1))) for j, c in enumerate(self.modes)]
+            spread += [float(np.quantile(np.linalg.norm(sample[inside[:, j]] - c, axis=1), 0.01)) for j, c in enumerate(self.modes)]
             rest = sample[~inside.any(axis=1)]
             shares[0] = max(len(rest), 1) / max(len(sample), 1)
-        self.rotations = [V.learn_rotation(rest, dim, seed) for seed in range(ROTATIONS)]
-        bits = dim * ROTATIONS
+        self.rotations = [V.learn_rotation(rest, dim, seed) for seed in range(-(-BITS // dim))]
+        bits = dim * len(self.rotations)
         self.width, self.tables, self.radius = [], [], []
         chord = math.sqrt(2 - 2 * min_cos)
         for j, (share, rho) in enumerate(zip(shares, spread)):
-            p = math.acos(min_cos) / math.pi if j == 0 else 2 * math.asin(min(1.0, chord / (2 * max(rho, chord / 2)))) / math.pi
+            # share of bits in which a pair of just the sought similarity differs; in a mode the members
+            # nearest to its centre, whose directions from there differ most, set it
+            p = math.acos(min_cos) / math.pi if j == 0 else 2 * math.asin(min(1.0, chord / (2 * max(rho, 1e-9)))) / math.pi
+            p = min(p, 0.5)
             w = int(min(40, max(4, math.ceil(math.log2(max(n * share, 2) / BUCKET_FILL)))))
             self.width.append(w)
             self.tables.append(int(min(bits // w, max(2, math.ceil(math.log(MISS) / math.log1p(-min((1 - p) ** w, 1 - 1e-9)))))))
