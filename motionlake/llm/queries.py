@@ -69,4 +69,29 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p6_found, p6_nearest, p7_found, p7_groups, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_sentences)}
-SQL: dict[str, str] = {}
+_ONE = "SELECT *, row_number() OVER (PARTITION BY handle, take, frame ORDER BY row_id) AS k FROM features"
+
+_UNIT = f"""u AS (
+  SELECT row_id, [CAST(x AS DOUBLE) FOR x IN data] AS v FROM ({_ONE}) q
+  WHERE k = 1 AND len(data) = 48 AND len([1 FOR x IN data IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([1 FOR x IN data IF x <> 0]) > 0
+)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE d AS (
+  SELECT handle, take, frame, flag, mask, row_number() OVER (PARTITION BY handle, take ORDER BY frame) AS rn FROM ({_ONE}) q WHERE k = 1 AND frame IS NOT NULL
+), r AS (
+  SELECT handle, take, rn, frame, flag, mask, frame AS first_frame FROM d WHERE rn = 1
+  UNION ALL
+  SELECT handle, take, rn, frame, CASE WHEN goes_on THEN coalesce(known_flag, flag) ELSE flag END, CASE WHEN goes_on THEN coalesce(known_mask, mask) ELSE mask END, CASE WHEN goes_on THEN first_frame ELSE frame END
+  FROM (SELECT d.*, r.flag AS known_flag, r.mask AS known_mask, r.first_frame,
+      d.frame - r.frame <= 5 AND NOT coalesce(d.flag <> r.flag, FALSE) AND NOT coalesce(d.mask <> r.mask, FALSE) AS goes_on
+    FROM r JOIN d ON d.handle IS NOT DISTINCT FROM r.handle AND d.take IS NOT DISTINCT FROM r.take AND d.rn = r.rn + 1) s
+)
+SELECT handle, take, first_frame, max(frame) AS last_frame FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    "p6_found": f"WITH {_UNIT} SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM u a JOIN u b ON a.row_id < b.row_id WHERE list_cosine_similarity(a.v, b.v) >= 0.99",
+    # a group is closed and complete exactly if all its rows have one and the same list of near rows
+    "p7_found": f"""WITH {_UNIT}, near AS (
+  SELECT a.row_id, list_sort(list(b.row_id)) AS rows FROM u a JOIN u b ON list_cosine_similarity(a.v, b.v) >= 0.87 GROUP BY 1
+), groups AS (SELECT rows FROM near GROUP BY rows HAVING count(*) = len(rows) AND len(rows) >= 8)
+SELECT rows[1] AS cluster_row_id, unnest(rows) AS row_id FROM groups""",
+}
