@@ -243,32 +243,38 @@ def _ends_here(block: str, unit: int, at: int, stop: int, after: int, opener: in
     return lead[:1] in ("¿", "¡") or first.isupper() and _is_common(follow, own, corpus)
 
 
+def _candidates(block: str, marker: int) -> Iterator[tuple[int, int, int, int]]:
+    """(at, stop, after, opener) of the terminator runs outside paired marks, as ``_ends_here`` takes them."""
+    marks = _paired(block)
+    opens: list[int] = []
+    for k, (at, stop, turn) in enumerate(marks):
+        if turn == 1:
+            opens.append(at)
+        elif turn == -1:
+            opens and opens.pop()
+        if turn or block[at] not in ENDS or at < marker:
+            continue
+        after, opener, level, j = stop, -1, len(opens), k + 1
+        while level and j < len(marks) and marks[j][2] == -1 and not block[after : marks[j][0]].strip():
+            level -= 1
+            after, opener = marks[j][1], opens[level]
+            j += 1
+        while level == 0 and j < len(marks) and marks[j][0] == after and block[marks[j][0]] in "\"”»)」":
+            after = marks[j][1]
+            j += 1
+        if level == 0:
+            yield at, stop, after, opener
+
+
 def units(text: str, spans: list[tuple[int, int, int]], corpus: Callable[[str], int], own: Evidence | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit of the blocks."""
     own = Evidence(text, spans, lazy=True) if own is None else own
     out: list[tuple[int, int]] = []
     for s, e, marker in spans:
         block = text[s:e]
-        unit, depth, cuts = 0, 0, []
-        marks = _paired(block)
-        opens: list[int] = []
-        for k, (at, stop, turn) in enumerate(marks):
-            if turn == 1:
-                opens.append(at)
-            elif turn == -1:
-                opens and opens.pop()
-            depth = len(opens)
-            if turn or block[at] not in ENDS or at < marker:
-                continue
-            after, opener, level, j = stop, -1, depth, k + 1
-            while level and j < len(marks) and marks[j][2] == -1 and not block[after : marks[j][0]].strip():
-                level -= 1
-                after, opener = marks[j][1], opens[level]
-                j += 1
-            while level == 0 and j < len(marks) and marks[j][0] == after and block[marks[j][0]] in "\"”»)」":
-                after = marks[j][1]
-                j += 1
-            if level == 0 and _ends_here(block, unit, at, stop, after, opener, own, corpus):
+        unit, cuts = 0, []
+        for at, stop, after, opener in _candidates(block, marker):
+            if _ends_here(block, unit, at, stop, after, opener, own, corpus):
                 cuts.append((unit, after))
                 unit = after
         cuts.append((unit, len(block)))
@@ -280,6 +286,22 @@ def units(text: str, spans: list[tuple[int, int, int]], corpus: Callable[[str],
     return out
 
 
+def tokens_wanted(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Every corpus token that ``units`` could ask for, whatever the counts and the earlier decisions are."""
+    out: set[str] = set()
+    for s, e, marker in spans:
+        block = text[s:e]
+        starts = [0]  # of the unit, if any of the boundaries before holds
+        for at, stop, after, _ in _candidates(block, marker):
+            follow = _NEXT.match(block, after).group(2)
+            if follow:
+                out.update(kind + follow.rstrip(".'’-").lower() for kind in "lus")
+            if block[at:stop] == ".":
+                out.update(kind + _word_before(block, unit, at).lower() for unit in starts for kind in "tbad")
+            starts = [0, *(u for u in starts[1:] if u > after - 100), after]
+    return out
+
+
 def plain_body(text: str) -> int:
     """Offset of the body of a message that is text/plain without transfer encoding, else -1."""
     head, at = mail.split(text)
@@ -321,13 +343,15 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
 OUT = "doc_id long, part int, in_message boolean, unit int, sent_start long, sentence string"
 
 
+def _parts(text: str, plain_only: bool) -> list[tuple[str, list[tuple[int, int, int]], bool]]:
+    if not plain_only:
+        return bodies(text)
+    at = plain_body(text)
+    return [(text, blocks(text, at), True)] if at >= 0 else []
+
+
 def _emit(doc: int, text: str, corpus: Callable[[str], int], plain_only: bool) -> list[tuple]:
-    if plain_only:
-        at = plain_body(text)
-        parts = [(text, blocks(text, at), True)] if at >= 0 else []
-    else:
-        parts = bodies(text)
-    return [(doc, p, raw, k, a, body[a:b]) for p, (body, spans, raw) in enumerate(parts) for k, (a, b) in enumerate(units(body, spans, corpus))]
+    return [(doc, p, raw, k, a, body[a:b]) for p, (body, spans, raw) in enumerate(_parts(text, plain_only)) for k, (a, b) in enumerate(units(body, spans, corpus))]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -364,8 +388,7 @@ def split_sentences(documents: DataFrame, plain_only: bool = False, send_most: i
         for batch in batches:
             keys, tokens = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                asked: set[str] = set()
-                _emit(0, text, lambda t, asked=asked: asked.add(t) or 0, plain_only)
+                asked = set().union(*(tokens_wanted(body, spans) for body, spans, _ in _parts(text, plain_only)))
                 keys += [key] * len(asked)
                 tokens += sorted(asked)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string())], ["_key", "token"])

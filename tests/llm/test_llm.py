@@ -123,6 +123,16 @@ def test_sentences(spark):
     assert sentences.split_sentences(d.limit(0)).count() == 0
 
 
+def test_joined_counts_decide_like_sent_counts(spark):
+    head = "Content-Type: text/plain; charset=utf-8\n\n"
+    filler = head + "ask etc. and go, see Prof. a day, Univ. of it, 교수. 3 und 교수. 4 oder 교수. 5 hier, " * 3 + "then the lens and the drive moved, the end was a place.\n"
+    texts = [head + t + "\n" for t in ("Pens etc. The rest is here.", "He saw Prof. Zed there.", "At Univ. The lens broke.", "그 교수. 누가 왔다.", "东京。Univ. The end.", "„It is etc.“ The lens moved.")]
+    d = spark.createDataFrame(list(enumerate([filler, filler, *texts])), "doc_id long, text string")
+    sent, joined = (sorted(map(tuple, sentences.split_sentences(d, send_most=n).collect())) for n in (10_000, 0))
+    assert joined == sent
+    assert [r[5] for r in sent if r[0] == 2] == ["Pens etc.", "The rest is here."]
+
+
 def test_mail_parts_survive_truncation():
     enc = base64.b64encode("héllo wörld, this goes on".encode()).decode()[:-5]
     t = f'Content-Type: multipart/alternative;\r\n boundary="x"\r\n\r\n--x\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: base64\r\n\r\n{enc}'
