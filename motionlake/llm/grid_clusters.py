@@ -5,8 +5,11 @@ unrelated rows rarely. Cells are counted in SQL; cells with at least two rows wh
 linking similarity are dense. Dense cells of different grids are adjacent where they share rows, so each row
 joins the cells it lies in. Minimum labels are propagated over these links to convergence.
 
-A cluster counts as a group if it has enough rows and all its rows are mutually similar (an exact check over
-all pairs of its rows, in parts where it is large). Its most typical rows are members of its densest cell.
+The grids only propose: the first row of each linked set is compared with all rows, and those that reach the
+similarity are the cluster, whether a grid linked them or not. A cluster counts as a group if it has enough rows,
+all its rows are mutually similar and no other row reaches one of them (exact checks over all pairs, in parts
+where it is large; rows beyond the sum of both angles of the first row cannot reach). Its most typical rows are
+members of its densest cell.
 
 Defined results: unusable vectors take no part; exact copies are ordinary rows; a table with no group
 gives no rows; ties in density go to the smaller row_id.
@@ -25,8 +28,24 @@ from pyspark.sql import functions as F
 from motionlake.llm import vectors as V
 from motionlake.session import materialise
 
-GRIDS, UNRELATED_PER_CELL = 20, 0.3
-PART_ROWS = 8192
+#: At least so many grids; more where a smallest group, all pairs at just the threshold, would share no cell with a chance above MISS.
+GRIDS, UNRELATED_PER_CELL, MISS = 20, 0.3, 1e-6
+PART_ROWS, SEED_BLOCK = 8192, 20_000
+#: Slack of single precision in all comparisons with the threshold.
+SLACK = 1e-6
+
+
+def grids_needed(axes: int, all_pairs: float, least: int, draws: int = 20_000) -> int:
+    """Grids for which ``least`` rows at pairwise cosine ``all_pairs`` share no cell with a chance of at most MISS (simulated)."""
+    rng = np.random.default_rng(7)
+    share = max(all_pairs, 0.0)
+    apart = 0
+    for _ in range(draws // 1000):
+        x = math.sqrt(share) * rng.standard_normal((1000, 1, axes)) + math.sqrt(1 - share) * rng.standard_normal((1000, least, axes))
+        cells = np.sort(V.pack((x > 0).reshape(-1, axes)).reshape(1000, least), axis=1)
+        apart += int((np.diff(cells, axis=1) != 0).all(axis=1).sum())
+    chance = min(max(apart, 1), draws - 1) / draws
+    return max(GRIDS, math.ceil(math.log(MISS) / math.log(chance)))
 
 
 def cell_rows(vecs: DataFrame, dim: int, grids: int, axes: int) -> DataFrame:
@@ -85,10 +104,11 @@ def links(cells: DataFrame, near: float) -> DataFrame:
     return dense.mapInArrow(run, "row_id long, rep long, n long")
 
 
-def labelled(vecs: DataFrame, dim: int, near: float, grids: int = GRIDS) -> DataFrame:
+def labelled(vecs: DataFrame, dim: int, near: float, all_pairs: float, least: int, grids: int | None = None) -> DataFrame:
     """(row_id, label, density): rows of dense cells with the smallest label reached and their densest cell's size."""
     n = vecs.count()
     axes = int(min(dim, 47, max(6, math.ceil(math.log2(max(n, 2) / UNRELATED_PER_CELL)))))
+    grids = grids or grids_needed(axes, all_pairs, least)
     found = materialise(links(cell_rows(vecs, dim, grids, axes), near))
     first = materialise(found.groupBy("row_id").agg(F.min("rep").alias("home"), F.max("n").alias("density")))
     edges = found.join(first, "row_id").select(F.col("home").alias("a"), F.col("rep").alias("b"))
@@ -96,6 +116,68 @@ def labelled(vecs: DataFrame, dim: int, near: float, grids: int = GRIDS) -> Data
     return first.join(labels, first["home"] == labels["node"], "left").select("row_id", F.coalesce("label", "home").alias("label"), "density")
 
 
+def reached(vecs: DataFrame, seeds: DataFrame, dim: int) -> DataFrame:
+    """(label, row_id, cosine): the rows from cosine ``least`` below ``most`` to each seed (label, v, least, most); all rows against all seeds."""
+    spark = vecs.sparkSession
+    blocks = max(1, -(-seeds.count() // SEED_BLOCK))
+    out = None
+    for block in range(blocks):
+        part = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == block)
+        t = part.select("label", "least", "most", "v").toArrow()
+        x = V.unit(V.matrix(t.column(3), dim)).astype(np.float32) if t.num_rows else np.zeros((0, dim), np.float32)
+        shared = spark.sparkContext.broadcast((*(t.column(i).to_numpy() for i in range(3)), x))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            labels, least, most, centres = shared.value
+            low, high = least.astype(np.float32), most.astype(np.float32)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), V.unit(V.matrix(batch.column(1), dim)).astype(np.float32)
+                for i in range(0, len(x), 1024):
+                    for j in range(0, len(labels), 2048):
+                        c = x[i : i + 1024] @ centres[j : j + 2048].T
+                        at, of = np.nonzero(c >= low[j : j + 2048])
+                        found = c[at, of]
+                        keep = found < high[j + of]
+                        at, of, found = at[keep], of[keep], found[keep]
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(labels[j + of]), pa.array(ids[i + at]), pa.array(found.astype(np.float64))], ["label", "row_id", "cosine"])
+
+        found = vecs.select("row_id", "v").mapInArrow(run, "label long, row_id long, cosine double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def open_groups(members: DataFrame, outside: DataFrame, vecs: DataFrame, dim: int, all_pairs: float) -> DataFrame:
+    """(label) of the groups in which an outside row (label, row_id) reaches a member (label, row_id)."""
+
+    def parted(rows: DataFrame, side: int) -> DataFrame:
+        size = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias(f"parts{side}"))
+        return rows.select("label", "row_id").join(size, "label").withColumn(f"part{side}", F.pmod(F.xxhash64("row_id"), F.col(f"parts{side}")).cast("int"))
+
+    a, b = parted(members, 0), parted(outside, 1)
+    a = a.join(b.select("label", "parts1").distinct(), "label").withColumn("part1", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1))).withColumn("side", F.lit(0))
+    b = b.join(a.select("label", "parts0").distinct(), "label").withColumn("part0", F.explode(F.sequence(F.lit(0), F.col("parts0") - 1))).withColumn("side", F.lit(1))
+    cols = ("label", "row_id", "side", "part0", "part1")
+    tasks = a.select(*cols).union(b.select(*cols)).join(vecs, "row_id").select(F.xxhash64("label", "part0", "part1").alias("task"), "label", "side", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def narrow() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = V.unit(V.matrix(b.column(3), dim)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["task", "label", "side", "x"])
+
+        for label, side, raw in V.sorted_groups(narrow()):
+            x = np.ascontiguousarray(raw).view(np.float32).reshape(len(label), dim)
+            a, b = x[side == 0], x[side == 1]
+            if any((a[i : i + 1024] @ b[j : j + 1024].T >= all_pairs - SLACK).any() for i in range(0, len(a), 1024) for j in range(0, len(b), 1024)):
+                yield pa.RecordBatch.from_arrays([pa.array([int(label[0])])], ["label"])
+
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "label long").distinct()
+
+
 def tight_groups(rows: DataFrame, vecs: DataFrame, dim: int, all_pairs: float, least: int) -> DataFrame:
     """(label, size) of the clusters with at least ``least`` rows in which any two reach ``all_pairs``."""
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
@@ -125,17 +207,29 @@ def tight_groups(rows: DataFrame, vecs: DataFrame, dim: int, all_pairs: float, l
             yield pa.RecordBatch.from_arrays([pa.array([int(label[0])]), pa.array([lowest])], ["label", "lowest"])
 
     lowest = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "label long, lowest double")
-    tight = lowest.groupBy("label").agg(F.min("lowest").alias("lowest")).filter(F.col("lowest") >= all_pairs - 1e-6)
+    tight = lowest.groupBy("label").agg(F.min("lowest").alias("lowest")).filter(F.col("lowest") >= all_pairs - SLACK)
     return tight.join(sizes, "label").select("label", "size")
 
 
-def cluster(vecs: DataFrame, dim: int, all_pairs: float = 0.87, least: int = 8, grids: int = GRIDS) -> DataFrame:
-    """(cluster_row_id, row_id, size, density): one row per member of every tight group."""
+def cluster(vecs: DataFrame, dim: int, all_pairs: float = 0.87, least: int = 8, grids: int | None = None) -> DataFrame:
+    """(cluster_row_id, row_id, size, density): one row per member of every tight group that no other row reaches."""
     vecs = materialise(vecs.select("row_id", "v"))
-    rows = materialise(labelled(vecs, dim, all_pairs - 0.01, grids))
-    groups = tight_groups(rows, vecs, dim, all_pairs, least)
-    members = rows.join(groups, "label")
-    return members.select(F.min("row_id").over(Window.partitionBy("label")).alias("cluster_row_id"), "row_id", "size", "density")
+    rows = materialise(labelled(vecs, dim, all_pairs - 0.01, all_pairs, least, grids))
+    seeds = materialise(rows.groupBy("label").agg(F.min("row_id").alias("row_id")).join(vecs, "row_id").select(F.col("row_id").alias("label"), "v"))
+    enough = all_pairs - SLACK
+    hits = materialise(reached(vecs, seeds.select("label", "v", F.lit(enough).alias("least"), F.lit(2.0).alias("most")), dim))
+    clusters = hits.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("row_id").alias("cluster_row_id"), F.min("cosine").alias("farthest")).filter(F.col("size") >= least)
+    # all seeds of a closed group reach the same rows, so of clusters with one first row any will do
+    clusters = clusters.groupBy("cluster_row_id").agg(F.min_by(F.struct("label", "farthest"), "label").alias("c")).select("cluster_row_id", "c.*")
+    clusters = materialise(clusters)
+    inside = materialise(hits.join(clusters, "label").select("label", "row_id", "cluster_row_id"))
+    groups = materialise(tight_groups(inside.select("label", "row_id"), vecs, dim, all_pairs, least).join(clusters, "label"))
+    angle = F.acos(F.least("farthest", F.lit(1.0))) + math.acos(enough)
+    around = groups.select("label", F.cos(F.least(angle, F.lit(math.pi))).alias("least")).join(seeds, "label")
+    outside = materialise(reached(vecs, around.select("label", "v", F.col("least") - SLACK, F.lit(enough).alias("most")).toDF("label", "v", "least", "most"), dim))
+    closed = groups.join(open_groups(inside, outside, vecs, dim, all_pairs), "label", "left_anti").select("label", "size")
+    members = inside.join(closed, "label").join(rows.select("row_id", "density"), "row_id", "left")
+    return members.select("cluster_row_id", "row_id", "size", F.coalesce("density", F.lit(1)).alias("density"))
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import itertools
+import math
 import random
 
 import numpy as np
@@ -214,6 +215,28 @@ def test_groups_equal_brute_force(spark, table):
     assert grid_clusters.cluster(v.limit(0), 16).count() == 0
 
 
+def brute_groups(x, all_pairs=0.87, least=8):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = [frozenset(np.flatnonzero(r).tolist()) for r in u @ u.T >= all_pairs]
+    return {(min(g), i) for g in set(near) if len(g) >= least and all(near[j] == g for j in g) for i in g}
+
+
+def test_groups_do_not_depend_on_the_grids_that_link(spark, table):
+    x, _ = table
+    first = x[300] / np.linalg.norm(x[300])  # a row of the large group; the new row is out at just over the threshold
+    away = np.linalg.svd(x[300:580])[2][-1]
+    x = np.concatenate([x, [0.88 * first + math.sqrt(1 - 0.88**2) * (away - away @ first * first)]])
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "row_id long, v array<double>")
+    want = brute_groups(x)
+    assert want and not any(300 <= i < 580 for _, i in want)
+    assert {(r["cluster_row_id"], r["row_id"]) for r in grid_clusters.cluster(v, 16, grids=2).collect()} == want
+
+
+def test_grids_follow_the_axes():
+    few, many = (grid_clusters.grids_needed(a, 0.87, 8) for a in (16, 23))
+    assert 20 <= few < many
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8), (3, 3)]
     got = {r["node"]: r["label"] for r in vectors.components(spark.createDataFrame(chain, "a long, b long")).collect()}
