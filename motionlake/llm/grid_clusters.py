@@ -1,9 +1,10 @@
 """Grouping records into similarity clusters: grid density clustering over several grids.
 
 Unit vectors are quantised (two steps per axis) on rotated axes, once per grid, fine enough that a cell holds
-unrelated rows rarely. Cells are counted in SQL; cells with at least two rows whose rows lie within the
-linking similarity are dense. Dense cells of different grids are adjacent where they share rows, so each row
-joins the cells it lies in. Minimum labels are propagated over these links to convergence.
+unrelated rows rarely. Cells are counted in SQL; cells with at least two rows are dense, and rows are linked there
+where their floats reach the similarity (the quantised ones decide where they can). Dense cells of different grids
+are adjacent where they share rows, so each row joins the cells it lies in. Minimum labels are propagated over
+these links to convergence, so a set of linked rows never spans two groups.
 
 The grids only propose: the first row of each linked set is compared with all rows, and those that reach the
 similarity are the cluster, whether a grid linked them or not. A cluster counts as a group if it has enough rows,
@@ -31,8 +32,8 @@ from motionlake.session import materialise
 #: At least so many grids; more where a smallest group, all pairs at just the threshold, would share no cell with a chance above MISS.
 GRIDS, UNRELATED_PER_CELL, MISS = 20, 0.3, 1e-6
 PART_ROWS, SEED_BLOCK = 8192, 20_000
-#: Slack of single precision in all comparisons with the threshold.
-SLACK = 1e-6
+#: Slack of single precision in all comparisons with the threshold; rows within NEAR_SLACK under it count for the density of a cell.
+SLACK, NEAR_SLACK = 1e-6, 0.01
 
 
 def grids_needed(axes: int, all_pairs: float, least: int, draws: int = 20_000) -> int:
@@ -65,55 +66,85 @@ def cell_rows(vecs: DataFrame, dim: int, grids: int, axes: int) -> DataFrame:
     return each.select(F.explode("cells").alias("cell"), "row_id", "q")
 
 
-def _local_labels(x: np.ndarray, near: float) -> np.ndarray:
-    """Label per row of a cell: the first row of the linked set it belongs to (greedy over leaders)."""
-    label = np.full(len(x), -1)
+def sure_and_possible(all_pairs: float, dim: int) -> tuple[float, float]:
+    """Cosines of vectors in steps of 1/127 from which the floats surely, and below which they never, reach ``all_pairs``."""
+    slip = 2 * math.asin(min(1.0, math.sqrt(dim) * 0.5 / 127))
+    angle = math.acos(all_pairs)
+    return math.cos(max(angle - slip, 0.0)), math.cos(min(angle + slip, math.pi))
+
+
+def _local_links(x: np.ndarray, near: float, possible: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of a cell: the first leader it perhaps reaches (greedy), its cosine, and how many rows are near that leader."""
+    label, cosine, n = np.full(len(x), -1), np.ones(len(x)), np.zeros(len(x), np.int64)
     for i in range(len(x)):
         if label[i] < 0:
-            label[(label < 0) & (x @ x[i] >= near)] = i
-            label[i] = i
-    return label
+            c = x @ x[i]
+            take = (label < 0) & (c >= possible)
+            label[take], cosine[take] = i, c[take]
+            label[i], cosine[i] = i, 1.0
+            n[i] = (c >= near).sum()
+    return label, cosine, n[label]
 
 
-def links(cells: DataFrame, near: float) -> DataFrame:
-    """(row_id, rep, n): each row of a dense cell with the smallest row linked to it there, and how many are."""
+def links(cells: DataFrame, dim: int, all_pairs: float) -> DataFrame:
+    """(row_id, rep, n, sure): rows of a dense cell with the leader they surely or perhaps reach there, and the rows near it."""
+    sure, possible = sure_and_possible(all_pairs, dim)
     counted = cells.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("rows >= 2")
     dense = counted.select("cell", "row_id", "q").sortWithinPartitions("cell")  # the window has hashed by cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[np.ndarray] = []
-        reps: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        held = 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["row_id", "rep", "n", "sure"])
+
         for ids, q in V.sorted_groups(batches):
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], V.unit(q[order].view(np.int8).astype(np.float32))
-            label = _local_labels(x, near)
-            n = np.bincount(label, minlength=len(ids))[label]
-            keep = n >= 2
-            rows.append(ids[keep])
-            reps.append(ids[label[keep]])
-            sizes.append(n[keep])
-            held += int(keep.sum())
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (rows, reps, sizes)], ["row_id", "rep", "n"])
-                rows, reps, sizes, held = [], [], [], 0
+            ids, x = ids[order].astype(np.int64), V.unit(q[order].view(np.int8).astype(np.float32))
+            label, cosine, n = _local_links(x, all_pairs - NEAR_SLACK, possible)
+            keep = np.bincount(label, minlength=len(ids))[label] >= 2
+            held.append((ids[keep], ids[label[keep]], n[keep], cosine[keep] >= sure))
+            if sum(len(h[0]) for h in held) > 100_000:
+                yield taken()
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (rows, reps, sizes)], ["row_id", "rep", "n"])
+            yield taken()
+
+    return dense.mapInArrow(run, "row_id long, rep long, n long, sure boolean")
+
+
+def verified(pairs: DataFrame, vecs: DataFrame, dim: int, all_pairs: float) -> DataFrame:
+    """The pairs (row_id, rep) whose floats reach ``all_pairs``."""
+    both = pairs.join(vecs, "row_id").join(vecs.select(F.col("row_id").alias("rep"), F.col("v").alias("w")), "rep").select("row_id", "rep", "v", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v, w = (V.unit(V.matrix(b.column(i), dim)) for i in (2, 3))
+                yield b.select(["row_id", "rep"]).filter(pa.array((v * w).sum(axis=1) >= all_pairs - SLACK))
+
+    return both.mapInArrow(run, "row_id long, rep long")
 
-    return dense.mapInArrow(run, "row_id long, rep long, n long")
 
+def labelled(vecs: DataFrame, dim: int, all_pairs: float, least: int, grids: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row_id, label) of the linked rows with the smallest label reached, and (row_id, density), their densest cell's size.
 
-def labelled(vecs: DataFrame, dim: int, near: float, all_pairs: float, least: int, grids: int | None = None) -> DataFrame:
-    """(row_id, label, density): rows of dense cells with the smallest label reached and their densest cell's size."""
+    Only links that hold on the floats are followed; a row with none that hold is a set of its own."""
     n = vecs.count()
     axes = int(min(dim, 47, max(6, math.ceil(math.log2(max(n, 2) / UNRELATED_PER_CELL)))))
     grids = grids or grids_needed(axes, all_pairs, least)
-    found = materialise(links(cell_rows(vecs, dim, grids, axes), near))
-    first = materialise(found.groupBy("row_id").agg(F.min("rep").alias("home"), F.max("n").alias("density")))
-    edges = found.join(first, "row_id").select(F.col("home").alias("a"), F.col("rep").alias("b"))
+    found = materialise(links(cell_rows(vecs, dim, grids, axes), dim, all_pairs))
+    # a row with a sure link to another needs no more; leaders link to themselves
+    settled = found.filter("sure AND row_id <> rep").select("row_id").distinct()
+    doubtful = materialise(found.filter("NOT sure").select("row_id", "rep").distinct().join(settled, "row_id", "left_anti"))
+    true = materialise(verified(doubtful, vecs, dim, all_pairs))
+    alone = doubtful.select("row_id", F.col("row_id").alias("rep"))
+    pairs = materialise(found.filter("sure").select("row_id", "rep").union(true).union(true.select("rep", "rep")).union(alone).distinct())
+    first = materialise(pairs.groupBy("row_id").agg(F.min("rep").alias("home")))
+    edges = pairs.join(first, "row_id").select(F.col("home").alias("a"), F.col("rep").alias("b"))
     labels = V.components(edges)
-    return first.join(labels, first["home"] == labels["node"], "left").select("row_id", F.coalesce("label", "home").alias("label"), "density")
+    rows = first.join(labels, first["home"] == labels["node"], "left").select("row_id", F.coalesce("label", "home").alias("label"))
+    return rows, found.groupBy("row_id").agg(F.max("n").alias("density"))
 
 
 def reached(vecs: DataFrame, seeds: DataFrame, dim: int) -> DataFrame:
@@ -214,7 +245,7 @@ def tight_groups(rows: DataFrame, vecs: DataFrame, dim: int, all_pairs: float, l
 def cluster(vecs: DataFrame, dim: int, all_pairs: float = 0.87, least: int = 8, grids: int | None = None) -> DataFrame:
     """(cluster_row_id, row_id, size, density): one row per member of every tight group that no other row reaches."""
     vecs = materialise(vecs.select("row_id", "v"))
-    rows = materialise(labelled(vecs, dim, all_pairs - 0.01, all_pairs, least, grids))
+    rows, density = labelled(vecs, dim, all_pairs, least, grids)
     seeds = materialise(rows.groupBy("label").agg(F.min("row_id").alias("row_id")).join(vecs, "row_id").select(F.col("row_id").alias("label"), "v"))
     enough = all_pairs - SLACK
     hits = materialise(reached(vecs, seeds.select("label", "v", F.lit(enough).alias("least"), F.lit(2.0).alias("most")), dim))
@@ -228,7 +259,7 @@ def cluster(vecs: DataFrame, dim: int, all_pairs: float = 0.87, least: int = 8,
     around = groups.select("label", F.cos(F.least(angle, F.lit(math.pi))).alias("least")).join(seeds, "label")
     outside = materialise(reached(vecs, around.select("label", "v", F.col("least") - SLACK, F.lit(enough).alias("most")).toDF("label", "v", "least", "most"), dim))
     closed = groups.join(open_groups(inside, outside, vecs, dim, all_pairs), "label", "left_anti").select("label", "size")
-    members = inside.join(closed, "label").join(rows.select("row_id", "density"), "row_id", "left")
+    members = inside.join(closed, "label").join(density, "row_id", "left")
     return members.select("cluster_row_id", "row_id", "size", F.coalesce("density", F.lit(1)).alias("density"))
 
 

@@ -232,6 +232,24 @@ def test_groups_do_not_depend_on_the_grids_that_link(spark, table):
     assert {(r["cluster_row_id"], r["row_id"]) for r in grid_clusters.cluster(v, 16, grids=2).collect()} == want
 
 
+def test_rows_just_under_the_threshold_join_nothing(spark):
+    rng = np.random.default_rng(4)
+
+    def at(cosine, a, b):
+        return cosine * np.eye(16)[a] + math.sqrt(1 - cosine**2) * np.eye(16)[b]
+
+    angle = math.acos(0.865)
+    apart = [np.cos(t) * np.eye(16)[4] + np.sin(t) * np.eye(16)[5] for t in (0, 2 * angle)]
+    x = [at(1, 0, 1)] * 9 + [at(0.865, 0, 1)] + [apart[0]] * 8 + [np.cos(angle) * np.eye(16)[4] + np.sin(angle) * np.eye(16)[5]] + [apart[1]] * 10
+    # a group at pairwise 0.885, where the quantised vectors decide nothing
+    loose = math.sqrt(0.885) * np.eye(16)[8] + math.sqrt(0.115) * np.linalg.qr(rng.standard_normal((7, 7)))[0] @ np.eye(16)[9:]
+    x = np.concatenate([np.array(x) + 1e-5 * rng.standard_normal((len(x), 16)), loose, [loose[0] + 1e-4]])
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "row_id long, v array<double>")
+    want = brute_groups(x)
+    assert {c for c, _ in want} == {0, 10, 19, 29}
+    assert {(r["cluster_row_id"], r["row_id"]) for r in grid_clusters.cluster(v, 16).collect()} == want
+
+
 def test_grids_follow_the_axes():
     few, many = (grid_clusters.grids_needed(a, 0.87, 8) for a in (16, 23))
     assert 20 <= few < many
