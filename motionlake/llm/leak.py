@@ -72,7 +72,6 @@ class _Side:
     def __init__(self, items: list[tuple[int, list[str] | str]], window: int, errors: int, glue: str):
         self.window, self.errors, self.glue = window, errors, glue
         self.piece = (window + 1) // (errors + 2)
-        self.least_run = -(-(window - errors) // (errors + 1))  # some intact run of this many units remains
         self.items = [(i, u) for i, u in items if len(u) >= window]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, units) in enumerate(self.items):
@@ -134,12 +133,13 @@ class _Side:
                 run = b - a
                 if run >= self.window:
                     found = (True, run, 0, a, self.glue.join(item[a:b]))
-                elif run >= self.least_run:
+                else:  # every run holds a whole piece, and the intact piece may lie in the shorter run
                     found = None
                     # a longer passage goes on at one end of the run, where the next units differ by few edits
                     u = 1 if self.glue else 4
-                    right = b + u <= len(item) and self._near(item[b : b + u], units, b + shift, u)
-                    left = a >= u and self._near(item[a - u : a], units, a + shift - u, u)
+                    more, less = min(u, len(item) - b, self.window - run), min(u, a, self.window - run)
+                    right = more > 0 and self._near(item[b : b + more], units, b + shift, more)
+                    left = less > 0 and self._near(item[a - less : a], units, a + shift - less, less)
                     starts = ({a} if right else set()) | ({b - self.window} if left else set()) | ({(a + b - self.window) // 2} if left and right else set())
                     for s in {max(0, min(x, len(item) - self.window)) for x in starts}:
                         if (k, s + 1_000_000 * (i - at + 1)) in seen:
@@ -156,8 +156,6 @@ class _Side:
                             found = (False, self.window, edits, s, passage)
                     if found is None:
                         continue
-                else:
-                    continue
                 if k not in best or found[:2] > best[k][:2]:
                     best[k] = found
         return best

@@ -84,6 +84,19 @@ def test_leaks_are_found_in_every_coding(spark):
     assert leak.find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_one_edit_is_found_wherever_it_lies():
+    w = [a + b + "xyz" for a in "bcdfg" for b in "aeiou"]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñøåæ"
+    for item, window, glue, edit in ((w, 12, " ", lambda u: u[0] + "q" + u[2:]), (letters, 24, "", lambda u: "0")):
+        side = leak._Side([(1, item)], window, 1, glue)
+        for at in range(side.piece):
+            for e in range(window):
+                part = list(item[at : at + window])
+                part[e] = edit(part[e])
+                units = ["1"] * 9 + part + ["2"] * 9
+                assert side.find(units if glue else "".join(units)), (window, at, e)
+
+
 def test_water_filling():
     got = mixing.water_fill({"a": 100, "b": 100, "c": 0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 5, "c": 9}, 400)
     assert got["a"] == 100 and got["c"] == 0 and abs(got["b"] - 300) < 1e-9
