@@ -9,14 +9,21 @@ from motionlake.operators import drift, implausible, regular_grid, rejects
 from motionlake.session import read_table
 
 
+def _raw(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return drift.raw_tables(*(read_table(spark, d, n) for n in ("yolo3r_raw", "dlc_single", "dlcma_multi")))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    t = [read_table(spark, d, n) for n in ("yolo3r_raw", "dlc_single", "dlcma_multi", "raw_files")]
-    return drift.report(drift.detect(*t)[2])
+    return drift.report(drift.detect(_raw(spark, d), read_table(spark, d, "raw_files"))[1])
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return drift.field_kinds(drift.detect(_raw(spark, d), read_table(spark, d, "raw_files"))[0])
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    t = [read_table(spark, d, n) for n in ("yolo3r_raw", "dlc_single", "dlcma_multi", "raw_files")]
-    return drift.unify(*drift.detect(*t))
+    tables = _raw(spark, d)
+    return drift.unify(tables, *drift.detect(tables, read_table(spark, d, "raw_files")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +60,7 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return implausible.flag_implausible(*_pose(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_grid, p2_filled, p3_found, p3_loaded, p5_found, p5_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_unified, p2_found, p2_grid, p2_filled, p3_found, p3_loaded, p5_found, p5_flags)}
 
 _USABLE = """
 usable AS (
@@ -93,6 +100,41 @@ WITH lines AS (
 )
 SELECT source_table, line_id, reason FROM judged WHERE reason IS NOT NULL"""
 
+_KINDS = """
+WITH lines AS (
+  SELECT 'yolo3r' AS t, file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' ') AS line, 1 AS n_head FROM yolo3r_raw
+  UNION ALL SELECT 'dlc', file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' '), 3 FROM dlc_single
+  UNION ALL SELECT 'dlcma', file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' '), 4 FROM dlcma_multi
+), cut AS (
+  SELECT *, regexp_full_match(line, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted_ok,
+    [trim(CASE WHEN c LIKE '"%' THEN substr(c, 2, length(c) - 2) ELSE c END) FOR c IN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1)] AS cells FROM lines
+), heads AS (
+  SELECT t, file_id, max(cells) FILTER (line_no = 0) AS h0, max(cells) FILTER (line_no = 1) AS h1, max(cells) FILTER (line_no = 2) AS h2, max(cells) FILTER (line_no = 3) AS h3 FROM cut WHERE line_no < n_head GROUP BY 1, 2
+), named AS (
+  SELECT t, file_id, CASE t WHEN 'dlc' THEN h2 WHEN 'dlcma' THEN h3 ELSE h0 END AS coords, CASE t WHEN 'dlc' THEN ['c0'] || [h1[i] || '.' || h2[i] FOR i IN range(2, len(h2) + 1)]
+    WHEN 'dlcma' THEN ['c0'] || [h1[i] || '.' || h2[i] || '.' || h3[i] FOR i IN range(2, len(h3) + 1)] ELSE h0 END AS names FROM heads
+), good AS (
+  SELECT c.file_id, names, cells FROM cut c JOIN named n ON c.t = n.t AND c.file_id = n.file_id
+  WHERE line_no >= n_head AND trim(line) <> '' AND quoted_ok AND len(cells) = len(names) AND (c.t = 'yolo3r' OR (c.t = 'dlc' OR regexp_full_match(cells[1], '[0-9]+'))
+    AND len([1 FOR v, i IN cells IF i > 1 AND NOT (v = '' OR lower(v) = 'nan' OR (regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND (coords[i] <> 'likelihood' OR TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 1)))]) = 0)
+), v AS (SELECT file_id, unnest(names) AS field_name, unnest(cells) AS v FROM good
+), k AS (
+  SELECT file_id, field_name, bool_and(regexp_full_match(v, '[+-]?[0-9]+')) AS whole, bool_and(regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')) AS number FROM v WHERE lower(v) NOT IN ('', 'na', 'nan') GROUP BY 1, 2
+), f AS (SELECT DISTINCT n.file_id, unnest(names) AS field_name FROM named n JOIN raw_files r ON n.file_id = r.file_id AND n.t = r.layout)
+SELECT f.file_id, f.field_name, CASE WHEN coalesce(whole, TRUE) THEN 'long' WHEN number THEN 'double' ELSE 'string' END AS kind FROM f LEFT JOIN k ON f.file_id = k.file_id AND f.field_name = k.field_name"""
+
+_LOADED = """
+WITH lines AS (
+  SELECT 'dlc_single' AS source_table, line_id, file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' ') AS line, 3 AS n_head FROM dlc_single
+  UNION ALL SELECT 'dlcma_multi', line_id, file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' '), 4 FROM dlcma_multi
+), bad AS (""" + _REASONS + """
+), cut AS (
+  SELECT source_table, file_id, line_id, line_no, [trim(CASE WHEN c LIKE '"%' THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END) FOR c IN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1)] AS cells
+  FROM lines WHERE line_no >= n_head AND trim(line) <> ''
+)
+SELECT c.source_table, c.file_id, c.line_id, c.line_no, cells[1] AS c0, [CASE WHEN lower(v) NOT IN ('', 'nan') THEN CAST(v AS DOUBLE) END FOR v IN cells[2:]] AS values
+FROM cut c LEFT JOIN bad b ON c.source_table = b.source_table AND c.line_id = b.line_id WHERE b.line_id IS NULL"""
+
 _DEVIATES = " OR ".join(
     "(" + " AND ".join(f"abs(lag({c}, {b}) OVER w - lead({c}, {g + 1 - b}) OVER w) <= 20 * m{c}" for _ in (0,)) + "".join(
         f" AND abs({'lag(' + c + f', {b - k}) OVER w' if k < b else 'lead(' + c + f', {k - b}) OVER w' if k > b else c} - lag({c}, {b}) OVER w) > 20 * m{c}"
@@ -118,6 +160,8 @@ WHERE spike OR lx >= 20 OR ly >= 20 OR x < 0 OR x > width_px OR y < 0 OR y > hei
 SQL: dict[str, str] = {
     "p2_found": "WITH " + _SLOTS + " SELECT handle, take, slot FROM holes",
     "p2_grid": "WITH " + _SLOTS + " SELECT handle, take, slot, n, FALSE AS filled, round(x, 6) AS x_observed, round(y, 6) AS y_observed FROM slots UNION ALL SELECT handle, take, slot, 0, TRUE, NULL, NULL FROM holes",
+    "p1_kinds": _KINDS,
     "p3_found": _REASONS,
+    "p3_loaded": _LOADED,
     "p5_found": _IMPLAUSIBLE,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only on one machine (a local master) a
+    temporary folder is made and set where that is unset; a cluster without a named folder is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -21,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     own = tempfile.mkdtemp(prefix="motionlake-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir("file://" + own)
     return "file://" + own
 
@@ -38,5 +43,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more (the steps of a loop)."""
+    for t in tables:
+        for f in {name.rpartition("/")[0] for name in t.inputFiles()}:
+            if f.rpartition("/")[2].startswith("motionlake-"):
+                path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -107,17 +107,64 @@ def test_lines_without_header_are_rejected(spark):
     assert rows(got, "line_id", "reason") == [(103, "column_count")] or rows(got, "line_id", "reason") == [(103, None)]
 
 
+def versions_of(spark, *files):
+    """Detected (versions, changes, tables) of single-header files written one after the other, with ids 1, 2, ..."""
+    meta = spark.createDataFrame([(i, "yolo3r", "f", i) for i in range(1, len(files) + 1)], "file_id long, layout string, feed string, written_at int")
+    tables = drift.raw_tables(lines(spark, {i: f for i, f in enumerate(files, 1)}), lines(spark, {}), lines(spark, {}))
+    return *drift.detect(tables, meta), tables
+
+
 def test_drift_reports_and_unifies(spark):
     v1 = ["frame_index,p1.x,p1.conf,p1.z", "1,5.5,0.9,30.1", "2,5.6,0.8,30.2", "3,5.7,NA,29.9"]
     v2 = ["frame_no,p1.x,p1_conf,led", "4,5.5,0.91,1", "5,5.6,0.85,0", "6,5.7,,1"]
-    v3 = ["frame_no,led,p1.score,p1.x", "7.0,1,91%,5", "8.0,0,85%,6", "9.0,1,88%,7"]
+    v3 = ["frame_no,led,p1.score,p1.x", "7.0,1,91%,5", "8.0,0,85%,6", "9.0,1,88%,7", "10,0"]
     files = spark.createDataFrame([(3, "yolo3r", "f", 1), (1, "yolo3r", "f", 2), (2, "yolo3r", "f", 3), (9, "yolo3r", None, 1)], "file_id long, layout string, feed string, written_at int")
-    raw = lines(spark, {3: v1, 1: v2, 2: v3, 9: v1})
-    cells, versions, changes = drift.detect(raw, lines(spark, {}), lines(spark, {}), files)
+    tables = drift.raw_tables(lines(spark, {3: v1, 1: v2, 2: v3, 9: v1}), lines(spark, {}), lines(spark, {}))
+    versions, changes = drift.detect(tables, files)
     assert rows(drift.report(changes), "file_id", "field_name", "change_kind") == sorted(
         [(1, "frame_no", "renamed"), (1, "p1_conf", "renamed"), (1, "led", "added"), (1, "p1.z", "removed"), (2, "p1.score", "renamed"), (2, "p1.score", "retyped"), (2, "frame_no", "retyped"), (2, "p1.x", "retyped")], key=repr)
-    u = drift.unify(cells, versions, changes)
-    assert rows(u.filter("file_id = 2 AND line_no = 1"), "frame_index", "`p1.conf`", "`p1.x`", "led") == [(7.0, "91%", 5.0, 1.0)]
-    assert u.count() == 12
-    empty = drift.detect(lines(spark, {}), lines(spark, {}), lines(spark, {}), files)
-    assert empty[2].count() == 0
+    u = drift.unify(tables, versions, changes)
+    assert rows(u.filter("file_id = 2 AND line_no = 1"), "frame_index", "`p1.conf`", "`p1.x`", "led") == [(7.0, "91%", 5.0, 1)]
+    assert u.count() == 12 and rows(drift.unparsed(tables["yolo3r"]), "file_id", "line_no", "reason") == [(2, 4, "column_count")]
+    none = {k: v.limit(0) for k, v in tables.items()}
+    assert drift.detect(none, files)[1].count() == 0
+
+
+def test_values_decide_renames(spark):
+    rng = random.Random(4)
+
+    def file(names, made, n=40):
+        return [",".join(names)] + [",".join(str(m(i)) for m in made) for i in range(n)]
+
+    count, x, conf, area, z = (lambda i: 100 + i), (lambda i: round(rng.uniform(0, 900), 2)), (lambda i: round(rng.uniform(0.6, 1), 3)), (lambda i: round(rng.uniform(2000, 4000), 1)), (lambda i: round(rng.gauss(30, 2), 2))
+    first = file(["frame_index", "nose.x", "nose.conf", "p1.x", "p1.conf"], [count, x, conf, x, conf])
+    # unrelated names with the same values; a whole point under another name; a counter under another name
+    second = file(["nr", "snout.x", "snout.conf", "p1.x", "p1.quality"], [count, x, conf, x, conf])
+    # a likely name with other values
+    third = file(["nr", "snout.x", "snout.conf", "p1.x", "p1.score"], [count, x, conf, x, area])
+    fourth = file(["nr", "snout.x", "snout.conf", "p1.x", "p1.score2", "p1.z"], [count, x, conf, x, area, z], 0)  # no line at all
+    fifth = file(["nr", "snout.x", "snout.conf", "p1.x", "p1.height"], [count, x, conf, x, z])
+    _, changes, _ = versions_of(spark, first, second, third, fourth, fifth)
+    got = rows(changes, "file_id", "change_kind", "old_name", "new_name")
+    names = [g for g in got if g[1] != "retyped"]
+    assert [g for g in names if g[0] == 2] == sorted([(2, "renamed", "frame_index", "nr"), (2, "renamed", "nose.x", "snout.x"), (2, "renamed", "nose.conf", "snout.conf"), (2, "renamed", "p1.conf", "p1.quality")], key=repr)
+    assert [g for g in names if g[0] == 3] == [(3, "added", None, "p1.score"), (3, "removed", "p1.quality", None)]
+    # a file without lines still counts as the predecessor
+    assert {(g[1], g[3] or g[2]) for g in names if g[0] == 4} >= {("added", "p1.z")} and any(g[0] == 5 and g[2] == "p1.score2" for g in names)
+
+
+def test_sketches_add_up():
+    rng = np.random.default_rng(2)
+    v = rng.normal(30, 2, 5000)
+    b, n = np.unique(drift.bins_of(v), return_counts=True)
+    q = drift.quantiles([{"bin": int(x), "count": int(c)} for x, c in zip(b, n)])
+    assert np.allclose(q, np.quantile(v, (0.05, 0.25, 0.5, 0.75, 0.95)), rtol=0.011)
+    w = np.array([0.0, -3.5, 3.5, 1e-20, 1e250])
+    assert np.allclose(drift.value_of(drift.bins_of(w)), [0, -3.5, 3.5, 0, 1e250], rtol=0.011)
+
+
+def test_blocks_of_a_file_meet_its_header(spark, monkeypatch):
+    body = [f"{i},{i}.5,1,0.5" for i in range(30)] + ["30,1"]
+    whole = rows(rejects.classify_lines(lines(spark, {1: DLC + body}), "dlc", "dlc_single"), "line_id", "cells", "reason")
+    monkeypatch.setattr(rejects, "BLOCK_LINES", 4)
+    assert rows(rejects.classify_lines(lines(spark, {1: DLC + body}), "dlc", "dlc_single"), "line_id", "cells", "reason") == whole
