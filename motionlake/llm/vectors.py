@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.session import materialise
+from motionlake.session import discard, materialise
 
 #: Most rows a rotation or the dense modes are fitted on; every row is indexed.
 FIT_ROWS = 20_000
@@ -33,6 +33,31 @@ def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def binary(a: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    a = np.ascontiguousarray(a)
+    width = a.shape[1] * a.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(a), [None, pa.py_buffer(a)]).cast(pa.binary())
+
+
+def floats(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Binary values as rows of single-precision numbers."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def as_floats(rows: DataFrame, key: str, dim: int, also: str | None = None) -> DataFrame:
+    """(key[, also], x): ``v`` as the binary unit vector in single precision."""
+    keep = [key, *([also] if also else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = unit(matrix(b.column(b.schema.names.index("v")), dim)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(k)) for k in keep), binary(x)], [*keep, "x"])
+
+    return rows.select(*keep, "v").mapInArrow(run, ", ".join(f"{k} long" for k in keep) + ", x binary")
+
+
 def sample(vectors: DataFrame, dim: int, most: int = FIT_ROWS, seed: int = 5) -> np.ndarray:
     """At most ``most`` unit vectors, the ones with the smallest seeded hash of their id."""
     table = vectors.orderBy(F.xxhash64(F.lit(seed), "row_id")).limit(most).select("v").toArrow()
@@ -136,9 +161,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("u"), F.least("a", "p").alias("p"))
         parent = materialise(parent)
+        old = (edges, labels)
         up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         jump = materialise(parent.join(up, "p").select("u", F.col("pp").alias("p")))
         labels = materialise(labels.join(jump, labels["label"] == jump["u"], "left").select("node", F.coalesce("p", "label").alias("label")))
         a = edges.join(jump, edges["a"] == jump["u"]).select(F.col("p").alias("a"), "b")
         edges = materialise(a.join(jump, a["b"] == jump["u"]).select("a", F.col("p").alias("b")).filter("a <> b").distinct())
+        discard(parent, jump, *old)
+    discard(edges)
     return labels

@@ -263,9 +263,47 @@ def test_rows_just_under_the_threshold_join_nothing(spark):
     assert {(r["cluster_row_id"], r["row_id"]) for r in grid_clusters.cluster(v, 16).collect()} == want
 
 
-def test_grids_follow_the_axes():
-    few, many = (grid_clusters.grids_needed(a, 0.87, 8) for a in (16, 23))
-    assert 20 <= few < many
+def test_smallest_groups_are_linked_whatever_the_number_of_rows():
+    rng = np.random.default_rng(8)
+    few = 0
+    for n in (15_000, 150_000, 15_000_000, 1_000_000_000):
+        axes = grid_clusters.axes_for(n, 48)
+        number = grid_clusters.grids_needed(axes, 0.87, 8)
+        assert few <= number < grid_clusters.MOST_GRIDS
+        few = number
+        grids = grid_clusters.Grids(48, axes, number, np.zeros((0, 48)), 0)
+        kept = 0
+        for _ in range(60):  # 8 rows with all pairs at 0.88
+            basis = np.linalg.qr(rng.standard_normal((48, 9)))[0].T
+            x = math.sqrt(0.88) * basis[0] + math.sqrt(0.12) * basis[1:]
+            linked = np.eye(8)
+            for g in range(number):
+                c = grids.cells(x, g)
+                linked += c[:, None] == c[None, :]
+            kept += (np.linalg.matrix_power(np.minimum(linked, 1), 8) > 0).sum(axis=1).max() >= grid_clusters.seed_rows(8)
+        print(f"{n} rows: {axes} axes, {number} grids, {kept} of 60 groups found")
+        assert kept >= 59
+
+
+def test_hot_cells_in_parts_give_the_same_groups(spark, table, monkeypatch):
+    x, v = table
+    monkeypatch.setattr(grid_clusters, "PART_ROWS", 16)
+    assert grid_clusters.Grids(16, 4, 3, x / np.linalg.norm(x, axis=1, keepdims=True), len(x)).hot
+    want = brute_groups(x)
+    assert want and {(r["cluster_row_id"], r["row_id"]) for r in grid_clusters.cluster(v, 16).collect()} == want
+
+
+def test_first_reached_by_tiles_equals_the_plain_way(monkeypatch):
+    x = cloud(3).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(grid_clusters, "TILE", 7)
+    label, cosine = grid_clusters.first_reached(x, 0.87)
+    firsts = []
+    for i in range(len(x)):
+        hit = [f for f in firsts if x[f] @ x[i] >= 0.87]
+        firsts += [] if hit else [i]
+        assert label[i] in (hit or [i]) and abs(cosine[i] - x[i] @ x[label[i]]) < 1e-5
+    assert len(firsts) == len(set(label))
 
 
 def test_components(spark):
