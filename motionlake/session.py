@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     own = tempfile.mkdtemp(prefix="motionlake-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
