@@ -29,6 +29,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d), 0.99, DIM).select("row_id_a", "row_id_b")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_classes(_vectors(spark, d), 0.99, DIM)
+
+
 def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: every row whose id is divisible by 20, against all rows."""
     v = _vectors(spark, d)
@@ -68,7 +72,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p6_found, p6_nearest, p7_found, p7_groups, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p6_found, p6_classes, p6_nearest, p7_found, p7_groups, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_sentences)}
 _ONE = "SELECT *, row_number() OVER (PARTITION BY handle, take, frame ORDER BY row_id) AS k FROM features"
 
 _UNIT = f"""u AS (
@@ -88,6 +92,12 @@ SQL: dict[str, str] = {
     FROM r JOIN d ON d.handle IS NOT DISTINCT FROM r.handle AND d.take IS NOT DISTINCT FROM r.take AND d.rn = r.rn + 1) s
 )
 SELECT handle, take, first_frame, max(frame) AS last_frame FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    "p6_classes": f"""WITH {_UNIT}, c AS (SELECT row_id, v, min(row_id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS copies FROM u),
+l AS (SELECT a.row_id AS class_id, count(*) AS links FROM c a JOIN c b ON a.row_id <> b.row_id WHERE a.row_id = a.class_id AND b.row_id = b.class_id AND list_cosine_similarity(a.v, b.v) >= 0.99 GROUP BY 1)
+SELECT row_id, c.class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN l ON c.class_id = l.class_id""",
+    "p6_nearest": f"""WITH {_UNIT}, s AS (SELECT a.row_id AS query_id, b.row_id, list_cosine_similarity(a.v, b.v) AS cosine FROM u a JOIN u b ON a.row_id <> b.row_id WHERE a.row_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, row_id, round(cosine, 4) AS cosine FROM r WHERE rank <= 5""",
     "p6_found": f"WITH {_UNIT} SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM u a JOIN u b ON a.row_id < b.row_id WHERE list_cosine_similarity(a.v, b.v) >= 0.99",
     # a group is closed and complete exactly if all its rows have one and the same list of near rows
     "p7_found": f"""WITH {_UNIT}, near AS (

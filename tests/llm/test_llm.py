@@ -185,10 +185,66 @@ def test_similar_pairs_equal_brute_force(spark, table):
 
 def test_full_buckets_lose_nothing(spark, table):
     _, v = table
-    coder = spark.sparkContext.broadcast(neighbours.Coder(vectors.sample(v, 16), 16, v.count(), 0.99))
-    index = neighbours._indexed(v, coder)
-    whole, parts = (sorted(map(tuple, neighbours.bucket_pairs(index, coder, n).collect())) for n in (4096, 8))
-    assert whole == parts and whole
+    x = vectors.sample(v, 16)
+    got = []
+    for rows in (4096, 8):
+        coder = neighbours.Coder(x, 16, len(x), 0.99, bucket_rows=rows)
+        assert bool(coder.hot) == (rows == 8)
+        got.append(sorted(map(tuple, neighbours.bucket_pairs(v, spark.sparkContext.broadcast(coder), 16, 0.99, 64).collect())))
+    assert got[0] and got[0] == got[1]
+
+
+def test_substrings_hold_the_pigeonhole_guarantee():
+    rng = np.random.default_rng(6)
+    for n in (15_000, 150_000, 15_000_000, 1_000_000_000):
+        coder = neighbours.Coder(np.zeros((0, 48)), 48, n, 0.99)
+        cuts = coder.cuts[0]
+        bits = cuts[-1][1]
+        radius = neighbours.radius_for(bits, math.acos(0.99) / math.pi)
+        assert len(cuts) == radius + 1 and all(a < b for a, b in cuts) and cuts[0][0] == 0
+        a = rng.standard_normal((3000, 48))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        o = rng.standard_normal((3000, 48))
+        o -= (o * a).sum(1, keepdims=True) * a
+        b = 0.99 * a + math.sqrt(1 - 0.99**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        (_, _, ka), (_, _, kb) = (next(iter(coder.keys(v))) for v in (a, b))
+        code = [np.concatenate([v @ r > 0 for r in coder.rotations], axis=1)[:, :bits] for v in (a, b)]
+        within, met = (code[0] != code[1]).sum(axis=1) <= radius, (ka == kb).any(axis=1)
+        print(f"{n} rows: {bits} bits, {len(cuts)} tables, radius {radius}, met at the threshold {met.mean():.4f}")
+        assert met[within].all() and met.mean() >= 0.997
+
+
+def test_modes_meet_pairs_at_the_threshold():
+    rng = np.random.default_rng(9)
+    c = rng.standard_normal(48)
+    c /= np.linalg.norm(c)
+
+    def around(n):
+        x = c + 0.034 * rng.standard_normal((n, 48))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    sample = np.concatenate([around(4000), rng.standard_normal((6000, 48))])
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    for n in (15_000, 1_000_000, 100_000_000):
+        coder = neighbours.Coder(sample, 48, n, 0.99)
+        a = around(2000)
+        o = rng.standard_normal((2000, 48))
+        o -= (o * a).sum(1, keepdims=True) * a
+        b = 0.99 * a + math.sqrt(1 - 0.99**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        met = np.zeros(2000, bool)
+        both = [{j: (rows, keys) for j, rows, keys in coder.keys(v)} for v in (a, b)]
+        for j in both[0].keys() & both[1].keys():
+            (ra, ka), (rb, kb) = both[0][j], both[1][j]
+            at = np.intersect1d(ra, rb)
+            met[at] |= (ka[np.searchsorted(ra, at)] == kb[np.searchsorted(rb, at)]).any(axis=1)
+        print(f"{n} rows: {len(coder.modes)} mode, {len(coder.cuts[1])} tables of {coder.cuts[1][0][1]} bits, met {met.mean():.4f}")
+        assert len(coder.modes) == 1 and met.mean() >= 0.99
+
+
+def test_classes_count_links_between_different_vectors(spark):
+    v = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0]) for i in range(30)] + [(100, [1.0, 2.0, 3.0, 4.01]), (101, [4.0, -1.0, 0.0, 0.0])], "row_id long, v array<double>")
+    got = {r["row_id"]: (r["class_id"], r["copies"], r["links"]) for r in neighbours.similar_classes(v, 0.99, 4).collect()}
+    assert got == {i: (0, 30, 1) for i in range(30)} | {100: (100, 1, 1), 101: (101, 1, 0)}
 
 
 def test_copies_are_linked_once(spark):
