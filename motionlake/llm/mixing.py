@@ -29,10 +29,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BUCKETS = 4096
 
 
-def token_counts(texts: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+def token_counts(texts: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
     """Append the number of tokens of column ``text``, which is dropped."""
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encoder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     for batch in texts:
         i = batch.schema.get_field_index("text")
@@ -45,7 +44,9 @@ def sized(documents: DataFrame, targets: DataFrame, ranks_path: str = RANKS) ->
     """(doc_id, source, n_tokens) of the documents whose source has a target."""
     docs = documents.select("doc_id", "source", "text").filter((F.length("text") > 0) & F.col("source").isNotNull())
     docs = docs.join(targets.select("source"), "source", "left_semi").select("doc_id", "source", "text")
-    return docs.mapInArrow(lambda it: token_counts(it, ranks_path), "doc_id long, source string, n_tokens long")
+    with open(ranks_path, "rb") as f:  # on the driver: a vocabulary of fixed size, sent to the workers once
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+    return docs.mapInArrow(lambda it: token_counts(it, shared.value), "doc_id long, source string, n_tokens long")
 
 
 def water_fill(sizes: dict[str, int], weights: dict[str, float], caps: dict[str, int], total: float) -> dict[str, float]:

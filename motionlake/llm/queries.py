@@ -80,8 +80,7 @@ _UNIT = f"""u AS (
   WHERE k = 1 AND len(data) = 48 AND len([1 FOR x IN data IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([1 FOR x IN data IF x <> 0]) > 0
 )"""
 
-SQL: dict[str, str] = {
-    "p4_found": f"""WITH RECURSIVE d AS (
+_RUNS = f"""WITH RECURSIVE d AS (
   SELECT handle, take, frame, flag, mask, row_number() OVER (PARTITION BY handle, take ORDER BY frame) AS rn FROM ({_ONE}) q WHERE k = 1 AND frame IS NOT NULL
 ), r AS (
   SELECT handle, take, rn, frame, flag, mask, frame AS first_frame FROM d WHERE rn = 1
@@ -91,7 +90,11 @@ SQL: dict[str, str] = {
       d.frame - r.frame <= 5 AND NOT coalesce(d.flag <> r.flag, FALSE) AND NOT coalesce(d.mask <> r.mask, FALSE) AS goes_on
     FROM r JOIN d ON d.handle IS NOT DISTINCT FROM r.handle AND d.take IS NOT DISTINCT FROM r.take AND d.rn = r.rn + 1) s
 )
-SELECT handle, take, first_frame, max(frame) AS last_frame FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _RUNS + "SELECT handle, take, first_frame, max(frame) AS last_frame FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2",
+    "p4_runs": _RUNS + "SELECT handle, take, first_frame AS first, max(frame) AS last, arg_max(flag, rn) AS flag, arg_max(mask, rn) AS mask, count(*) AS n, max(frame) - first_frame AS duration FROM r GROUP BY 1, 2, 3",
     "p6_classes": f"""WITH {_UNIT}, c AS (SELECT row_id, v, min(row_id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS copies FROM u),
 l AS (SELECT a.row_id AS class_id, count(*) AS links FROM c a JOIN c b ON a.row_id <> b.row_id WHERE a.row_id = a.class_id AND b.row_id = b.class_id AND list_cosine_similarity(a.v, b.v) >= 0.99 GROUP BY 1)
 SELECT row_id, c.class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN l ON c.class_id = l.class_id""",

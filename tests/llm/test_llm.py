@@ -40,6 +40,22 @@ def test_runs_equal_the_greedy_rule(spark):
     assert runs.collapse_runs(df.limit(0), ["handle", "take"], "frame", ["flag", "mask"]).count() == 0
 
 
+def test_many_possible_breaks_are_followed_by_doubling(spark):
+    rng = random.Random(8)  # a source without a certain break: a contradiction is always to an older row
+    rows, last = [], True
+    for i in range(3000):
+        if i % 2:
+            rows.append((i, None, None))
+        else:
+            last = rng.choice([last, not last])
+            rows.append((i, last, None) if rng.random() < 0.7 else (i, None, rng.choice([True, False, None])))
+    df = spark.createDataFrame([(i, "a", 0, *r, 1, "x") for i, r in enumerate(rows)] + [(9000 + i, None, 0, *r, 1, "x") for i, r in enumerate(rows[:90])], STATE)
+    for most in (4, 10_000):
+        got = runs.collapse_runs(df, ["handle", "take"], "frame", ["flag", "mask"], fold_most=most).collect()
+        assert sorted((r["first"], r["last"], r["n"]) for r in got if r["handle"] == "a") == brute_runs(rows)
+        assert sorted((r["first"], r["last"], r["n"]) for r in got if r["handle"] is None) == brute_runs(rows[:90])
+
+
 def brute_distance(p, t):
     d = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
