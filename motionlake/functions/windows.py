@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from motionlake.functions.chunked import null_safe_join, with_carried, with_position
+from motionlake.functions.chunked import null_safe_join, with_position
 
 CHUNK = 4096
 
@@ -24,7 +24,7 @@ def bounded(df: DataFrame, entity: list[str], order: str, before: int, after: in
     own, at = F.floor(F.col("_pos") / chunk).cast("long"), F.col("_pos") % chunk
     copies = F.array(own, F.when(at >= chunk - before, own + 1) if before else F.lit(None).cast("long"), F.when((at < after) & (own > 0), own - 1) if after else F.lit(None).cast("long"))
     d = d.withColumn("_chunk", F.explode(F.filter(copies, lambda c: c.isNotNull()))).withColumn("_own", F.col("_chunk") == own)
-    w = Window.partitionBy(*entity, "_chunk").orderBy("_pos")
+    w = Window.partitionBy(*entity, "_chunk").orderBy("_pos")  # nulls are one key to a window
     return d.withColumns(add(w)).filter("_own").drop("_pos", "_chunk", "_own")
 
 
@@ -55,23 +55,6 @@ def rolling(c: Column, w: WindowSpec, k: int, method: str, centred: bool = False
     raise ValueError(f"unknown method {method}")
 
 
-def with_runs(df: DataFrame, entity: list[str], order: str, value: Column, name: str = "run_start") -> DataFrame:
-    """Add the order value at which the run of equal ``value`` (nulls are equal) began."""
-    d = bounded(df.withColumn("_value", value), entity, order, 1, 0, lambda w: {"_begins": F.when(F.lag(F.lit(1)).over(w).isNull() | ~F.col("_value").eqNullSafe(F.lag("_value").over(w)), F.col(order))})
-    d = with_carried(d, entity, order, {name: F.col("_begins")})
-    return d.withColumn(name, F.coalesce("_begins", name)).drop("_begins", "_value")
-
-
-def with_neighbour_values(df: DataFrame, entity: list[str], order: str, values: dict[str, Column]) -> DataFrame:
-    """Add ``{name}_prev`` and ``{name}_next``: structs (pos, v) of the nearest non-null value before and after; and ``pos``."""
-    d = with_position(df, entity, order, "pos")
-    at = {k: F.when(v.isNotNull(), F.struct("pos", v.alias("v"))) for k, v in values.items()}
-    d = with_carried(d, entity, "pos", {f"{k}_prev": v for k, v in at.items()})
-    d = d.withColumn("_back", -F.col("pos"))
-    d = with_carried(d, entity, "_back", {f"{k}_next": v for k, v in at.items()})
-    return d.drop("_back")
-
-
 def per_entity(df: DataFrame, entity: list[str], aggs: list[Column]) -> DataFrame:
     """Join per-entity aggregates back to the rows (one small row per entity)."""
     return null_safe_join(df, df.groupBy(*entity).agg(*aggs), entity, "inner")

@@ -5,38 +5,68 @@ Permutations rank recordings by ``md5(handle:take:permutation:seed)``, so they c
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.functions.chunked import null_safe_join
 from motionlake.model import ENTITY
 
+#: Permutations of one pair of groups that one row carries.
+PER_TASK = 64
+
 
 def distances(transitions: DataFrame, groups: DataFrame, shuffles: int = 1000, seed: int = 0) -> DataFrame:
     """(pair, permutation, distance): Manhattan distance of the group means; permutation -1 is observed.
 
     ``groups`` is (handle, take, grp) with one row per recording; all pairs of groups are compared.
-    Recordings without any transition take part with a zero matrix.
+    Recordings without any transition take part with a zero matrix. Each recording's transitions are one
+    short list, so a permutation of a pair is one task-sized unit: its recordings are ranked by their hash and the
+    weighted lists are summed in one aggregate; neither pairs nor cells are ever joined per permutation.
     """
-    g = groups.select(*ENTITY, "grp")
-    names = g.select("grp").distinct()
-    pairs = names.select(F.col("grp").alias("g1")).join(names.select(F.col("grp").alias("g2")), F.col("g1") < F.col("g2"))
-    both = pairs.join(g, (F.col("grp") == F.col("g1")) | (F.col("grp") == F.col("g2")))
-    both = both.select(F.concat_ws("_vs_", "g1", "g2").alias("pair"), *ENTITY, (F.col("grp") == F.col("g1")).alias("_own"))
-    sizes = both.groupBy("pair").agg(F.count_if("_own").alias("_n1"), F.count_if(~F.col("_own")).alias("_n2"))
-    runs = both.withColumn("permutation", F.explode(F.sequence(F.lit(-1), F.lit(shuffles - 1))))
-    key = F.md5(F.concat_ws(":", F.coalesce("handle", F.lit("")), "take", "permutation", F.lit(seed)))
-    runs = runs.join(F.broadcast(sizes), "pair").withColumn("_rank", F.row_number().over(Window.partitionBy("pair", "permutation").orderBy(key, *ENTITY)))
-    first = F.when(F.col("permutation") < 0, F.col("_own")).otherwise(F.col("_rank") <= F.col("_n1"))
-    runs = runs.select("pair", "permutation", *ENTITY, (F.when(first, F.try_divide(F.lit(1.0), F.col("_n1"))).otherwise(-F.try_divide(F.lit(1.0), F.col("_n2")))).alias("_w"))
-    cells = null_safe_join(transitions.select(*ENTITY, "prev", "curr", "n"), runs, ENTITY, "inner")
-    cells = cells.groupBy("pair", "permutation", "prev", "curr").agg(F.sum(F.col("n") * F.col("_w")).alias("d"))
-    d = cells.groupBy("pair", "permutation").agg(F.sum(F.abs("d")).alias("distance"))
-    every = pairs.select(F.concat_ws("_vs_", "g1", "g2").alias("pair")).withColumn("permutation", F.explode(F.sequence(F.lit(-1), F.lit(shuffles - 1))))
-    return every.join(d, ["pair", "permutation"], "left").select("pair", "permutation", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    g = groups.select(F.struct(*ENTITY).alias("_e"), *ENTITY, "grp").filter("grp IS NOT NULL")
+    names = sorted(r["grp"] for r in g.select("grp").distinct().collect())  # a tag's values
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return g.select(F.col("grp").alias("pair"), F.lit(0).alias("permutation"), F.lit(0.0).alias("distance")).limit(0)
+    of = {n: [(f"{a}_vs_{b}", n == a) for a, b in pairs if n in (a, b)] for n in names}
+    lookup = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(own).alias("own")) for p, own in of[n]]))])
+    cells = transitions.groupBy(F.struct(*ENTITY).alias("_e")).agg(F.sort_array(F.collect_list(F.struct("prev", "curr", "n"))).alias("cells"))
+    both = g.select("_e", *ENTITY, F.explode(lookup[F.col("grp")]).alias("p")).select("_e", *ENTITY, "p.pair", "p.own").join(cells, "_e", "left")
+    sizes = both.groupBy("pair").agg(F.count_if("own").alias("_n1"), F.count_if(~F.col("own")).alias("_n2"))
+    key = F.concat_ws(":", F.coalesce("handle", F.lit("")), "take")
+    runs = both.join(sizes, "pair").select("pair", "own", "_n1", "_n2", "cells", key.alias("_k"), *ENTITY)
+    # the recordings of a pair (of one experiment: a bounded number), in one row, meet all its permutations
+    listed = runs.groupBy("pair", "_n1", "_n2").agg(F.sort_array(F.collect_list(F.struct(*ENTITY, "_k", "own", F.coalesce("cells", F.array().cast("array<struct<prev: string, curr: string, n: bigint>>")).alias("cells")))).alias("rows"))
+    some = F.explode(F.sequence(F.lit(-1), F.lit(shuffles - 1), F.lit(PER_TASK)))
+    tasks = listed.withColumn("first", some).repartition("pair", "first")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for pair, n1, n2, rows, first in zip(pdf["pair"], pdf["_n1"], pdf["_n2"], pdf["rows"], pdf["first"]):
+                index: dict[tuple, int] = {}
+                at = [(i, index.setdefault((c["prev"], c["curr"]), len(index)), c["n"]) for i, r in enumerate(rows) for c in r["cells"]]
+                m = np.zeros((len(rows), max(1, len(index))))
+                for i, j, n in at:
+                    m[i, j] += n
+                own = np.array([bool(r["own"]) for r in rows])
+                out = []
+                for permutation in range(first, min(first + PER_TASK, shuffles)):
+                    if permutation < 0:
+                        one = own
+                    else:
+                        keys = [(hashlib.md5(f"{r['_k']}:{permutation}:{seed}".encode()).hexdigest(), i) for i, r in enumerate(rows)]
+                        one = np.zeros(len(rows), bool)
+                        one[[i for _, i in sorted(keys)[:n1]]] = True
+                    w = np.where(one, 1 / n1 if n1 else 0.0, -1 / n2 if n2 else 0.0)
+                    out.append((pair, permutation, float(np.abs(w @ m).sum())))
+                yield pd.DataFrame(out, columns=["pair", "permutation", "distance"])
+
+    return tasks.select("pair", "_n1", "_n2", "rows", "first").mapInPandas(run, "pair string, permutation int, distance double")
 
 
 def stats(d: DataFrame, digits: int | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.functions import exprs
-from motionlake.functions.chunked import null_safe_join
-from motionlake.functions.windows import bounded, per_entity, rolling, with_neighbour_values
+from motionlake.functions.chunked import null_safe_join, with_neighbours
+from motionlake.functions.quantiles import medians
+from motionlake.functions.windows import bounded, per_entity, rolling
 from motionlake.model import DIMS, ENTITY, FRAME, PoseFrame, has_field
 
 
@@ -75,7 +76,8 @@ def rescale_by_known_distance(pose: PoseFrame, p: str, q: str, metres: float, di
     done = pose.steps.get("rescale", {})
     if set(done) & set(dims):
         raise ValueError("these dimensions were rescaled before")
-    f = per_entity(pose.frames, ENTITY, [F.try_divide(F.lit(metres), F.median(exprs.distance(p, q, dims))).alias("_factor")])
+    m = medians(pose.frames, ENTITY, {"_median": exprs.distance(p, q, dims)})
+    f = null_safe_join(pose.frames, m.select(*ENTITY, F.try_divide(F.lit(metres), "_median").alias("_factor")), ENTITY, "inner")
     f = _map_points(pose, lambda r, d: F.col(f"{r}.{d}") * F.col("_factor") if d in dims else None, f).drop("_factor")
     return pose.with_frames(f, pose.steps | {"rescale": done | {d: metres for d in dims}})
 
@@ -125,7 +127,7 @@ def interpolate(pose: PoseFrame, method: str = "linear", limit: int = 1, dims: S
         raise ValueError(f"unknown method {method}")
     steps = pose.once("interpolate", (method, limit))
     cols = {f"_i{i}": (p, d) for i, (p, d) in enumerate((p, d) for p in pose.points for d in dims if has_field(pose.frames, p, d))}
-    f = with_neighbour_values(pose.frames, ENTITY, FRAME, {n: F.col(f"{p}.{d}") for n, (p, d) in cols.items()})
+    f = with_neighbours(pose.frames, ENTITY, FRAME, {n: F.col(f"{p}.{d}") for n, (p, d) in cols.items()})
 
     def filled(n: str, c: Column) -> Column:
         prev, nxt, pos = F.col(f"{n}_prev"), F.col(f"{n}_next"), F.col("pos")

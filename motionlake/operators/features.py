@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from motionlake.functions import exprs
 from motionlake.functions.chunked import null_safe_join
+from motionlake.functions.quantiles import medians
 from motionlake.functions.windows import bounded
 from motionlake.model import ENTITY, FRAME, PoseFrame
 
@@ -78,7 +79,8 @@ def all_below_speed(points: Sequence[str], speed: float) -> Column:
 
 def point_medians(pose: PoseFrame, points: Sequence[str], dims: Sequence[str] = XY) -> DataFrame:
     """(handle, take, {point}: struct of exact medians); one row per recording."""
-    return pose.frames.groupBy(*ENTITY).agg(*[F.struct(*[F.median(f"{p}.{d}").alias(d) for d in dims]).alias(p) for p in points])
+    m = medians(pose.frames, ENTITY, {f"{p}|{d}": F.col(f"{p}.{d}") for p in points for d in dims})
+    return m.select(*ENTITY, *[F.struct(*[F.col(f"`{p}|{d}`").alias(d) for d in dims]).alias(p) for p in points])
 
 
 def define_boundary(pose: PoseFrame, points: Sequence[str], scaling: float = 1.0, scaling_y: float | None = None, centre: str | Sequence[str] | None = None) -> DataFrame:

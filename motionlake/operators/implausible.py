@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.chunked import first_delivery, null_safe_join, with_position
+from motionlake.functions.quantiles import medians
 from motionlake.operators.regular_grid import SOURCE, usable_readings
 
 CHUNK, HALO = 4096, 24
@@ -111,8 +112,7 @@ def _flag_chunk(pdf: pd.DataFrame, factor: float, run: int) -> pd.DataFrame:
 def flag_implausible(readings: DataFrame, recordings: DataFrame, factor: float = 20.0, run: int = 20) -> DataFrame:
     """(handle, take, frame_index, row_id, outside, frozen, spike) of the readings concerned.
 
-    The spike limit is ``factor`` times the source's exact median absolute change; changes are
-    rounded to 9 decimals, so the per-source counts that the exact median needs stay small.
+    The spike limit is ``factor`` times the source's exact median absolute change, changes rounded to 9 decimals.
     """
     if not 1 <= run <= HALO:
         raise ValueError(f"run must lie in 1..{HALO}")
@@ -124,7 +124,7 @@ def flag_implausible(readings: DataFrame, recordings: DataFrame, factor: float =
     w = Window.partitionBy(*SOURCE, "chunk").orderBy("pos")
     r = r.repartition(*SOURCE, "chunk")
     steps = r.select(*SOURCE, "halo", *[F.round(F.abs(F.col(c) - F.lag(c).over(w)), 9).alias(f"d_{c}") for c in COORDS]).filter(~F.col("halo"))
-    limits = steps.groupBy(*SOURCE).agg(*[F.percentile(f"d_{c}", 0.5).alias(f"med_{c}") for c in COORDS])
+    limits = medians(steps, SOURCE, {f"med_{c}": F.col(f"d_{c}") for c in COORDS})
     rec = recordings.select(*SOURCE, "width_px", "height_px")
     limits = null_safe_join(limits, rec, SOURCE, "left")
     full = null_safe_join(r, limits, SOURCE, "inner")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.clustering import KMeans
@@ -13,8 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most bytes of training rows sent to every task at once; larger training sets go in blocks.
-TRAIN_BLOCK = 64 << 20
+#: Most bytes of query rows (with their best neighbours) sent to every task at once.
+QUERY_BYTES = 64 << 20
 
 
 def scaling_factors(df: DataFrame, columns: Sequence[str], z_score: bool = False) -> dict[str, dict[str, float]]:
@@ -51,11 +52,36 @@ def complete(columns: Sequence[str]) -> Column:
 
 
 def assign_by_centroids(df: DataFrame, columns: Sequence[str], centroids: Sequence[Sequence[float]], name: str | None = None) -> DataFrame:
-    """Nearest centroid by Euclidean distance, the lowest index on ties; null where a column is null."""
+    """Nearest centroid by Euclidean distance, the lowest index on ties; null where a column is null.
+
+    One Arrow pass of matrix products over the packed columns, so any number of columns and centroids will do; the
+    distances to the centroids near the smallest are then taken again without cancellation.
+    """
     if any(len(c) != len(columns) for c in centroids):
         raise ValueError("centroids and columns differ in number")
-    d = F.array(*[F.struct(sum((F.pow(F.col(c) - F.lit(float(v)), 2) for c, v in zip(columns, cen)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, cen in enumerate(centroids)])
-    return df.withColumn(name or f"kmeans_{len(centroids)}", F.when(complete(columns), F.array_min(d)["i"]))
+    table = np.array(centroids, float).reshape(len(centroids), len(columns))
+    square = (table**2).sum(axis=1)
+
+    @F.pandas_udf("int")
+    def nearest(packed: pd.Series) -> pd.Series:
+        known = packed.notna().to_numpy()
+        out = np.full(len(packed), -1)
+        if known.any():
+            x = np.stack(packed[known].to_list()).astype(float)
+            rough = square - 2 * (x @ table.T)
+            least = rough.min(axis=1, keepdims=True)
+            best, label = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+            close = rough <= least + 1e-9 * ((x**2).sum(axis=1, keepdims=True) + square.max())
+            for i in range(len(table)):
+                at = np.flatnonzero(close[:, i])
+                d = ((x[at] - table[i]) ** 2).sum(axis=1)
+                better = d < best[at]
+                best[at[better]], label[at[better]] = d[better], i
+            out[known] = label
+        return pd.Series(out, dtype="Int32").mask(pd.Series(~known)).astype("Int32")
+
+    packed = F.when(complete(columns), F.array(*[F.col(c).cast("double") for c in columns]))
+    return df.withColumn(name or f"kmeans_{len(centroids)}", nearest(packed))
 
 
 def cluster_embedding(df: DataFrame, columns: Sequence[str], k: int, seed: int = 0, decimation: int | None = None, order: Sequence[str] = ()) -> tuple[DataFrame, list[list[float]]]:
@@ -80,6 +106,15 @@ def cluster_diagnostics(df: DataFrame, entity: list[str], label: str, n: int, lo
     return e.select(*entity, (F.col("_null") / F.col("_n")).alias("percent_nan"), count([F.col(f"_c{i}") == 0 for i in range(n)]).alias("num_missing"), count([s < low for s in share]).alias("num_low"), count([s > high for s in share]).alias("num_high"))
 
 
+def global_prevalence(df: DataFrame, label: str, n: int) -> DataFrame:
+    """(label, count, share) of labels 0..n-1 over all rows; nulls count below the line."""
+    c = df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("label"))
+    full = every.join(c, "label", "full")
+    total = full.groupBy().agg(F.sum("count").alias("_all"))
+    return full.filter(F.col("label").isNotNull()).crossJoin(F.broadcast(total)).select("label", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce(F.try_divide(F.col("count").cast("double"), F.col("_all")), F.lit(0.0)).alias("share"))
+
+
 def rms_error(df: DataFrame, actual: Sequence[str], predicted: Sequence[str], name: str = "rms") -> DataFrame:
     """Row-wise root mean square difference; null if any value is."""
     total = sum((F.pow(F.col(a) - F.col(b), 2) for a, b in zip(actual, predicted, strict=True)), F.lit(0.0))
@@ -89,9 +124,10 @@ def rms_error(df: DataFrame, actual: Sequence[str], predicted: Sequence[str], na
 def knn_predict(train: DataFrame, query: DataFrame, k: int, other_group: bool = False) -> DataFrame:
     """(id, y): mean target array of the k nearest training rows, ties to the smaller id.
 
-    ``train`` is (id, x array<double>, y array<double>[, grp]), ``query`` (id, x[, grp]). The stated query set
-    meets the training rows in blocks of bounded bytes; every block keeps its k best, so any number of
-    training rows is handled. With ``other_group`` neighbours of the query's own group are left out.
+    ``train`` is (id, x array<double>, y array<double>[, grp]), ``query`` (id, x[, grp]). The queries go to the workers
+    in blocks of at most ``QUERY_BYTES``; every task compares its share of the training rows with the whole block by matrix
+    products and keeps the k best, so training rows never leave their task. With ``other_group`` neighbours of the query's own
+    group are left out.
     """
     spark = train.sparkSession
     cols = ["id", "x", "y"] + (["grp"] if other_group else [])
@@ -100,45 +136,73 @@ def knn_predict(train: DataFrame, query: DataFrame, k: int, other_group: bool =
     first = train.select(F.size("x").alias("a"), F.size("y").alias("b")).first()
     if first is None:
         return query.select("id", F.lit(None).cast("array<double>").alias("y"))
-    n = train.count()
-    blocks = max(1, -(-n * 8 * (first["a"] + first["b"] + 2) // TRAIN_BLOCK))
-    parts = []
+    blocks = max(1, -(-query.count() * 8 * (first["a"] + 2 * k) // QUERY_BYTES))
+    matrix = lambda c: np.stack([np.asarray(v, float) for v in c.to_pylist()])
+    out = None
     for block in range(blocks):
-        rows = (train if blocks == 1 else train.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).toArrow()
+        rows = (query if blocks == 1 else query.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).toArrow()
         if not rows.num_rows:
             continue
-        to = lambda c: np.stack([np.asarray(v, float) for v in rows.column(c).to_pylist()])
-        ids = rows.column("id").to_numpy()
-        o = np.argsort(ids, kind="stable")
-        shared = spark.sparkContext.broadcast((ids[o], to("x")[o], to("y")[o], np.array(rows.column("grp").to_pylist(), object)[o] if other_group else None))
+        shared = spark.sparkContext.broadcast((rows.column("id").to_numpy(), matrix(rows.column("x")), np.array(rows.column("grp").to_pylist(), object) if other_group else None))
 
         def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tid, tx, ty, tg = shared.value
+            qid, q, qg = shared.value
+            best, who = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+            target = np.zeros((len(q), k, first["b"]))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q = np.stack([np.asarray(v, float) for v in batch.column(1).to_pylist()])
-                d = np.empty((len(q), len(tx)))
-                for i in range(len(q)):
-                    d[i] = ((tx - q[i]) ** 2).sum(axis=1)
-                if tg is not None:
-                    d[np.array(batch.column(2).to_pylist(), object)[:, None] == tg[None, :]] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(d, at, 1)
-                ok = np.isfinite(best)
-                r, c = np.nonzero(ok)
-                hit = at[r, c]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[r]), pa.array(best[r, c]), pa.array(tid[hit]), pa.array(list(ty[hit]), pa.list_(pa.float64()))], ["id", "d", "t", "y"])
-
-        parts.append(query.mapInArrow(near, "id long, d double, t long, y array<double>"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                tid, tx, ty = batch.column(0).to_numpy(), matrix(batch.column(1)), matrix(batch.column(2))
+                tg = np.array(batch.column(3).to_pylist(), object) if qg is not None else None
+                square = (tx**2).sum(axis=1)
+                for s in range(0, len(q), 1024):
+                    part = q[s : s + 1024]
+                    d = square - 2 * (part @ tx.T) + (part**2).sum(axis=1, keepdims=True)
+                    if tg is not None:
+                        d[qg[s : s + 1024][:, None] == tg[None, :]] = np.inf
+                    slack = 1e-9 * (square.max() + (part**2).sum(axis=1))
+                    kth = np.partition(d, min(k, len(tid)) - 1, axis=1)[:, min(k, len(tid)) - 1]
+                    close = (d <= (np.minimum(kth, best[s : s + 1024, -1]) + slack)[:, None]) & np.isfinite(d)
+                    for i in np.flatnonzero(close.any(axis=1)):
+                        c = np.flatnonzero(close[i])
+                        exact = ((tx[c] - part[i]) ** 2).sum(axis=1)
+                        both, ids = np.r_[best[s + i], exact], np.r_[who[s + i], tid[c]]
+                        o = np.lexsort((ids, both))[:k]
+                        best[s + i], who[s + i], target[s + i] = both[o], ids[o], np.concatenate([target[s + i], ty[c]])[o]
+            r, c = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best[r, c]), pa.array(who[r, c]), pa.array(list(target[r, c]), pa.list_(pa.float64()))], ["id", "d", "t", "y"])
+
+        found = train.mapInArrow(near, "id long, d double, t long, y array<double>")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return query.select("id", F.lit(None).cast("array<double>").alias("y"))
     w = Window.partitionBy("id").orderBy("d", "t")
     best = out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return best.groupBy("id").agg(F.array(*[F.avg(F.get("y", F.lit(i))) for i in range(first["b"])]).alias("y"))
 
 
+def cross_predict(rows: DataFrame, k: int, within: bool = True) -> DataFrame:
+    """(train_grp, test_grp, rms, n): how well each group's rows predict every group's targets, by k nearest neighbours.
+
+    ``rows`` is (id, x, y, grp). A group is tested on itself by leaving out the row itself; ``within=False`` leaves
+    these pairs out. One pass over the queries per training group (groups are few: tags of recordings); rows without group
+    take no part. ``rms`` is the root mean square over the rows' own root mean squares.
+    """
+    rows = rows.filter("grp IS NOT NULL")
+    out = None
+    for g in sorted(r["grp"] for r in rows.select("grp").distinct().collect()):
+        train, other = rows.filter(F.col("grp") == F.lit(g)), rows.filter(F.col("grp") != F.lit(g)).select("id", "x", F.col("id").alias("grp"))
+        query = other.unionByName(train.select("id", "x", F.col("id").alias("grp"))) if within else other
+        # a row is a group of its own, so that it never predicts itself
+        p = knn_predict(train.select("id", "x", "y", F.col("id").alias("grp")), query, k, other_group=True).select("id", F.col("y").alias("_p"))
+        e = rows.join(p, "id").withColumn("_e", F.aggregate(F.zip_with("y", "_p", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda a, b: a + b) / F.size("y"))
+        one = e.groupBy(F.col("grp").alias("test_grp")).agg(F.sqrt(F.avg("_e")).alias("rms"), F.count("_e").alias("n")).withColumn("train_grp", F.lit(g))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.select(F.col("grp").alias("train_grp"), F.col("grp").alias("test_grp"), F.lit(0.0).alias("rms"), F.lit(0).cast("long").alias("n")).limit(0)
+    return out.select("train_grp", "test_grp", "rms", "n")
+
+
 def fit_pca(df: DataFrame, column: str, k: int) -> Model:
     """Principal components of an array column; ``model.write().save(path)`` keeps it."""
     return PCA(k=k, inputCol="v", outputCol="pc").fit(df.select(array_to_vector(column).alias("v")))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from motionlake.functions.chunked import null_safe_join, with_next
 
 SOURCE = ["handle", "take"]
+#: Slots of a gap that come from one row at most.
+GAP_BLOCK = 4096
 
 
 def usable_readings(readings: DataFrame) -> DataFrame:
@@ -34,12 +36,12 @@ def usable_readings(readings: DataFrame) -> DataFrame:
     return r.filter(F.col("frame_index").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def slot_means(readings: DataFrame, recordings: DataFrame) -> DataFrame:
+def slot_means(readings: DataFrame, recordings: DataFrame, season_seconds: float = 60.0) -> DataFrame:
     """(handle, take, slot, x, y, n, period): one row per source and observed slot.
 
     Readings are hashed by (source, slot) once; removing re-deliveries and averaging both reuse that.
     """
-    rec = recordings.filter(F.col("grid_step") >= 1).select(*SOURCE, "grid_step", F.greatest(F.lit(4.0), 60.0 * F.coalesce("fps", F.lit(30.0)) / F.col("grid_step")).alias("period"))
+    rec = recordings.filter(F.col("grid_step") >= 1).select(*SOURCE, "grid_step", F.greatest(F.lit(4.0), season_seconds * F.coalesce("fps", F.lit(30.0)) / F.col("grid_step")).alias("period"))
     r = null_safe_join(usable_readings(readings), rec, SOURCE, "inner")
     r = r.select(*SOURCE, F.floor(F.col("frame_index") / F.col("grid_step")).cast("long").alias("slot"), "frame_index", "row_id", "x", "y", "period")
     r = r.repartition(*SOURCE, "slot")
@@ -98,7 +100,9 @@ def missing_slots(slots: DataFrame, harmonics: int = 2) -> DataFrame:
             f"r0{v}": F.col(v) - _model(F.col("slot"), beta, F.col("period"), harmonics),
             f"r1{v}": F.col(f"nxt.{v}") - _model(F.col("nxt.slot"), beta, F.col("period"), harmonics),
         })
-    each = gaps.withColumn("s", F.explode(F.sequence(F.col("slot") + 1, F.col("nxt.slot") - 1)))
+    # wide gaps are spread over rows in blocks before they are filled
+    each = gaps.withColumn("_block", F.explode(F.sequence(F.col("slot") + 1, F.col("nxt.slot") - 1, F.lit(GAP_BLOCK))))
+    each = each.withColumn("s", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + GAP_BLOCK - 1, F.col("nxt.slot") - 1))))
     share = (F.col("s") - F.col("slot")) / (F.col("nxt.slot") - F.col("slot"))
 
     def value(v: str) -> Column:
@@ -107,8 +111,11 @@ def missing_slots(slots: DataFrame, harmonics: int = 2) -> DataFrame:
     return each.select(*SOURCE, F.col("s").alias("slot"), value("x"), value("y"))
 
 
-def regular_grid(readings: DataFrame, recordings: DataFrame, harmonics: int = 2) -> DataFrame:
-    """(handle, take, slot, x, y, n, filled): one row per source and slot from first to last observed slot."""
-    slots = slot_means(readings, recordings)
+def regular_grid(readings: DataFrame, recordings: DataFrame, harmonics: int = 2, season_seconds: float = 60.0) -> DataFrame:
+    """(handle, take, slot, x, y, n, filled): one row per source and slot from first to last observed slot.
+
+    The season's length is a parameter; harmonics of a season the data lack get small coefficients.
+    """
+    slots = slot_means(readings, recordings, season_seconds)
     filled = missing_slots(slots, harmonics).select("*", F.lit(0).cast("long").alias("n"), F.lit(True).alias("filled"))
     return slots.select(*SOURCE, "slot", "x", "y", "n", F.lit(False).alias("filled")).unionByName(filled)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.functions.chunked import null_safe_join
+from motionlake.functions.quantiles import medians
 from motionlake.functions.windows import bounded
 from motionlake.model import ENTITY, FRAME, PoseFrame
 from motionlake.operators.features import with_motion
@@ -44,7 +45,8 @@ def total_distance(pose: PoseFrame, point: str, start: int | None = None, end: i
 def column_stats(df: DataFrame, column: str) -> DataFrame:
     """(entity, sum_, mean_, median_, max_, min_ of the column); nulls are skipped, an empty sum is 0."""
     c = F.col(column)
-    return df.groupBy(*ENTITY).agg(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"sum_{column}"), F.avg(c).alias(f"mean_{column}"), F.median(c).alias(f"median_{column}"), F.max(c).alias(f"max_{column}"), F.min(c).alias(f"min_{column}"))
+    s = df.groupBy(*ENTITY).agg(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"sum_{column}"), F.avg(c).alias(f"mean_{column}"), F.max(c).alias(f"max_{column}"), F.min(c).alias(f"min_{column}"))
+    return null_safe_join(s, medians(df, ENTITY, {f"median_{column}": c}), ENTITY, "inner")
 
 
 def transition_matrix(df: DataFrame, column: str, states: Sequence[str] | None = None) -> DataFrame:

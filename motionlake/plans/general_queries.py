@@ -40,7 +40,8 @@ def _pose(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.regular_grid(*_pose(spark, d)).filter("filled").select("handle", "take", "slot")
+    """The slots that the model filled."""
+    return regular_grid.regular_grid(*_pose(spark, d)).filter("filled AND x IS NOT NULL AND y IS NOT NULL").select("handle", "take", "slot")
 
 
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,8 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_filled(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.regular_grid(*_pose(spark, d))
+    g = regular_grid.regular_grid(*_pose(spark, d))
+    return g.select("handle", "take", "slot", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "n", "filled")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +66,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_unified, p2_found, p2_
 
 _USABLE = """
 usable AS (
-  SELECT handle, take, frame_index, p1.x AS x, p1.y AS y, CASE WHEN isnan(p1.conf) THEN NULL ELSE p1.conf END AS conf
+  SELECT row_id, handle, take, frame_index, p1.x AS x, p1.y AS y, CASE WHEN isnan(p1.conf) THEN NULL ELSE p1.conf END AS conf
   FROM (SELECT *, row_number() OVER (PARTITION BY handle, take, frame_index ORDER BY row_id) AS k FROM yolo3r) q
   WHERE k = 1 AND frame_index IS NOT NULL AND p1.x IS NOT NULL AND p1.y IS NOT NULL AND NOT isnan(p1.x) AND NOT isnan(p1.y)
 )"""
@@ -78,6 +80,30 @@ _SLOTS = _USABLE + """, slots AS (
   SELECT handle, take, CAST(unnest(generate_series(slot + 1, nxt - 1)) AS BIGINT) AS slot FROM gaps WHERE nxt - slot > 1
 )"""
 
+_BASIS = "[1.0, slot / period, " + ", ".join(f"{f}(2 * pi() * {k} * slot / period)" for k in (1, 2) for f in ("sin", "cos")) + "]"
+_AT = " + ".join(f"b[{i}] * beta_{{0}}[{i}]" for i in range(1, 7))
+# normal equations with a ridge, solved by Gauss-Jordan steps, one pivot a round
+_FILLED = "WITH RECURSIVE " + _SLOTS + f""", b AS (
+  SELECT s.*, greatest(4.0, 60.0 * coalesce(fps, 30.0) / grid_step) AS period FROM slots s JOIN recordings r ON s.handle IS NOT DISTINCT FROM r.handle AND s.take = r.take
+), m AS (SELECT *, {_BASIS} AS b FROM b
+), sums AS (
+  SELECT handle, take, {", ".join(f"sum(b[{i}] * b[{j}]) AS a{i}{j}" for i in range(1, 7) for j in range(i, 7))}, {", ".join(f"sum(b[{i}] * {v}) AS {v}{i}" for i in range(1, 7) for v in "xy")} FROM m GROUP BY 1, 2
+), g AS (
+  SELECT handle, take, 1 AS k, [{", ".join("[" + ", ".join((f"a{min(i, j)}{max(i, j)}" + (f" + 1e-6 * greatest(a{i}{i}, 1e-12)" if i == j else "")) for j in range(1, 7)) + f", x{i}, y{i}]" for i in range(1, 7))}] AS m FROM sums
+  UNION ALL
+  SELECT handle, take, k + 1, [CASE WHEN i = k THEN [v / m[k][k] FOR v IN m[k]] ELSE [v - m[i][k] * m[k][j] / m[k][k] FOR v, j IN m[i]] END FOR i IN range(1, 7)] FROM g WHERE k <= 6
+), beta AS (SELECT handle, take, [r[7] FOR r IN m] AS beta_x, [r[8] FOR r IN m] AS beta_y FROM g WHERE k = 7
+), ends AS (
+  SELECT m.handle, m.take, slot, period, x, y, beta_x, beta_y, lead(slot) OVER w AS nslot, lead(x) OVER w AS nx, lead(y) OVER w AS ny,
+    x - ({_AT.format("x")}) AS rx, y - ({_AT.format("y")}) AS ry FROM m JOIN beta ON m.handle IS NOT DISTINCT FROM beta.handle AND m.take = beta.take WINDOW w AS (PARTITION BY m.handle, m.take ORDER BY slot)
+), nxt AS (
+  SELECT *, lead(rx) OVER w AS nrx, lead(ry) OVER w AS nry FROM ends WINDOW w AS (PARTITION BY handle, take ORDER BY slot)
+), f AS (
+  SELECT handle, take, period, beta_x, beta_y, slot AS s0, nslot, rx, ry, nrx, nry, CAST(unnest(generate_series(slot + 1, nslot - 1)) AS BIGINT) AS slot FROM nxt WHERE nslot - slot > 1
+), p AS (SELECT *, {_BASIS} AS b, (slot - s0) / CAST(nslot - s0 AS DOUBLE) AS share FROM f)
+SELECT handle, take, slot, round(x, 3) AS x, round(y, 3) AS y, n, FALSE AS filled FROM slots
+UNION ALL SELECT handle, take, slot, round({_AT.format("x")} + rx + (nrx - rx) * share, 3), round({_AT.format("y")} + ry + (nry - ry) * share, 3), 0, TRUE FROM p"""
+
 _REASONS = """
 WITH lines AS (
   SELECT 'dlc_single' AS source_table, line_id, file_id, line_no, replace(replace(line, chr(13), ' '), chr(10), ' ') AS line, 3 AS n_head FROM dlc_single
@@ -154,14 +180,16 @@ _IMPLAUSIBLE = "WITH " + _USABLE + f""", steps AS (
 ), flags AS (
   SELECT *, coalesce({_DEVIATES}, FALSE) AS spike FROM med WINDOW w AS (PARTITION BY handle, take ORDER BY frame_index)
 )
-SELECT f.handle, f.take, f.frame_index FROM flags f LEFT JOIN recordings r ON f.handle IS NOT DISTINCT FROM r.handle AND f.take = r.take
+SELECT {{}} FROM flags f LEFT JOIN recordings r ON f.handle IS NOT DISTINCT FROM r.handle AND f.take = r.take
 WHERE spike OR lx >= 20 OR ly >= 20 OR x < 0 OR x > width_px OR y < 0 OR y > height_px OR conf < 0 OR conf > 1"""
 
 SQL: dict[str, str] = {
     "p2_found": "WITH " + _SLOTS + " SELECT handle, take, slot FROM holes",
     "p2_grid": "WITH " + _SLOTS + " SELECT handle, take, slot, n, FALSE AS filled, round(x, 6) AS x_observed, round(y, 6) AS y_observed FROM slots UNION ALL SELECT handle, take, slot, 0, TRUE, NULL, NULL FROM holes",
     "p1_kinds": _KINDS,
+    "p2_filled": _FILLED,
     "p3_found": _REASONS,
     "p3_loaded": _LOADED,
-    "p5_found": _IMPLAUSIBLE,
+    "p5_found": _IMPLAUSIBLE.format("f.handle, f.take, f.frame_index"),
+    "p5_flags": _IMPLAUSIBLE.format("f.handle, f.take, f.frame_index, f.row_id, coalesce(x < 0 OR x > width_px, FALSE) OR coalesce(y < 0 OR y > height_px, FALSE) OR coalesce(conf < 0 OR conf > 1, FALSE) AS outside, lx >= 20 OR ly >= 20 AS frozen, spike"),
 }

@@ -336,17 +336,17 @@ def unmatched_tags(spark, d):
 _BFA = f"""WITH {_TR}, {_TAGS}, gr AS (SELECT r.handle, r.take, treatment AS grp FROM recordings r JOIN g ON r.handle = g.handle WHERE treatment IS NOT NULL),
 pr AS (SELECT a.grp AS g1, b.grp AS g2 FROM (SELECT DISTINCT grp FROM gr) a JOIN (SELECT DISTINCT grp FROM gr) b ON a.grp < b.grp),
 bo AS (SELECT g1 || '_vs_' || g2 AS pair, handle, take, grp = g1 AS own FROM pr JOIN gr ON grp = g1 OR grp = g2),
-rk AS (SELECT pair, permutation, handle, take, own, row_number() OVER (PARTITION BY pair, permutation ORDER BY md5(concat_ws(':', coalesce(handle, ''), take, permutation, 7)), handle, take) AS k, count(*) FILTER (own) OVER (PARTITION BY pair, permutation) AS n1, count(*) FILTER (NOT own) OVER (PARTITION BY pair, permutation) AS n2 FROM bo, (SELECT unnest(generate_series(-1, 49)) AS permutation)),
+rk AS (SELECT pair, permutation, handle, take, own, row_number() OVER (PARTITION BY pair, permutation ORDER BY md5(concat_ws(':', coalesce(handle, ''), take, permutation, 7)), handle, take) AS k, count(*) FILTER (own) OVER (PARTITION BY pair, permutation) AS n1, count(*) FILTER (NOT own) OVER (PARTITION BY pair, permutation) AS n2 FROM bo, (SELECT unnest(generate_series(-1, 999)) AS permutation)),
 wt AS (SELECT pair, permutation, handle, take, CASE WHEN CASE WHEN permutation < 0 THEN own ELSE k <= n1 END THEN 1.0 / n1 ELSE -1.0 / n2 END AS w FROM rk),
 ce AS (SELECT pair, permutation, prev, curr, sum(n * w) AS d FROM wt JOIN t ON wt.handle IS NOT DISTINCT FROM t.handle AND wt.take IS NOT DISTINCT FROM t.take GROUP BY 1, 2, 3, 4),
-ds AS (SELECT g1 || '_vs_' || g2 AS pair, q.permutation, round(coalesce(distance, 0), 6) AS distance FROM pr CROSS JOIN (SELECT unnest(generate_series(-1, 49)) AS permutation) q LEFT JOIN (SELECT pair, permutation, sum(abs(d)) AS distance FROM ce GROUP BY 1, 2) c ON c.pair = g1 || '_vs_' || g2 AND c.permutation = q.permutation)
+ds AS (SELECT g1 || '_vs_' || g2 AS pair, q.permutation, round(coalesce(distance, 0), 6) AS distance FROM pr CROSS JOIN (SELECT unnest(generate_series(-1, 999)) AS permutation) q LEFT JOIN (SELECT pair, permutation, sum(abs(d)) AS distance FROM ce GROUP BY 1, 2) c ON c.pair = g1 || '_vs_' || g2 AND c.permutation = q.permutation)
 """
 
 
 def _bfa(spark: SparkSession, d: str) -> DataFrame:
     rec = groups.add_tags(read_table(spark, d, "recordings"), groups.normalised(read_table(spark, d, "tags"), TAGS))
     g = rec.filter("treatment IS NOT NULL").select(*ENTITY, F.col("treatment").alias("grp"))
-    return bfa.distances(summary.transition_matrix(state_frames(spark, d), "state"), g, 50, 7)
+    return bfa.distances(summary.transition_matrix(state_frames(spark, d), "state"), g, 1000, 7)
 
 
 @query(_BFA + "SELECT pair, CAST(permutation AS INT) AS permutation, round(distance, 5) AS distance FROM ds")
@@ -400,27 +400,27 @@ def cluster_diagnostics(spark, d):
 @query(None)
 def kmeans_embedding(spark, d):
     """Fitted labels depend on the start, so only rows are checked here and invariants in the tests."""
-    f, _ = ml.cluster_embedding(_xy(spark, d), ["ax", "ay", "bx"], 4, decimation=10, order=[FRAME])
+    f, _ = ml.cluster_embedding(_xy(spark, d), ["ax", "ay", "bx"], 4)
     return cols(f, "kmeans_4")
 
 
 def _emb(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), F.array(F.col("embedding")[60].cast("double"), F.col("embedding")[61].cast("double")).alias("y"), F.col("label").alias("grp"))
+    return e.select(F.col("vec_id").alias("id"), F.transform(F.concat(F.slice("embedding", 1, 60), F.slice("embedding", 63, 2)), lambda v: v.cast("double")).alias("x"), F.array(F.col("embedding")[60].cast("double"), F.col("embedding")[61].cast("double")).alias("y"), F.col("label").alias("grp"))
 
 
-_EM = "e AS (SELECT vec_id AS id, [CAST(v AS DOUBLE) FOR v IN embedding[1:8]] AS x, CAST(embedding[61] AS DOUBLE) AS y1, CAST(embedding[62] AS DOUBLE) AS y2, label AS grp FROM embeddings)"
+_EM = "e AS (SELECT vec_id AS id, [CAST(v AS DOUBLE) FOR v IN embedding[1:60] || embedding[63:64]] AS x, CAST(embedding[61] AS DOUBLE) AS y1, CAST(embedding[62] AS DOUBLE) AS y2, label AS grp FROM embeddings)"
 
 
 def _knn(cond: str) -> str:
-    return f"WITH {_EM}, p AS (SELECT q.id, t.id AS tid, t.y1, t.y2, list_sum([pow(q.x[i] - t.x[i], 2) FOR i IN range(1, 9)]) AS d FROM e q JOIN e t ON {cond}), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM p) SELECT id, round(avg(y1), 5) AS y1, round(avg(y2), 5) AS y2 FROM k WHERE r <= 5 GROUP BY id"
+    return f"WITH {_EM}, p AS (SELECT q.id, t.id AS tid, t.y1, t.y2, list_distance(q.x, t.x) AS d FROM e q JOIN e t ON {cond}), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM p) SELECT id, round(avg(y1), 5) AS y1, round(avg(y2), 5) AS y2 FROM k WHERE r <= 5 GROUP BY id"
 
 
-@query(_knn("q.id % 20 = 0 AND t.id % 20 <> 0"))
+@query(_knn("q.id % 20 = 0 AND t.id <> q.id"))
 def knn_regress(spark, d):
-    """The stated query set: ids divisible by 20, against all other rows."""
-    e = _emb(spark, d)
-    p = ml.knn_predict(e.filter("id % 20 <> 0"), e.filter("id % 20 = 0"), 5)
+    """The stated query set: ids divisible by 20, against all rows but the query itself."""
+    e = _emb(spark, d).withColumn("grp", F.col("id"))
+    p = ml.knn_predict(e, e.filter("id % 20 = 0"), 5, other_group=True)
     return p.select("id", r(F.get("y", F.lit(0)), "y1"), r(F.get("y", F.lit(1)), "y2"))
 
 
@@ -431,6 +431,16 @@ def knn_leave_group_out(spark, d):
     return p.select("id", r(F.get("y", F.lit(0)), "y1"), r(F.get("y", F.lit(1)), "y2"))
 
 
+@query(f"WITH {_EM}, p AS (SELECT q.id, q.grp AS test_grp, t.grp AS train_grp, q.y1 AS a1, q.y2 AS a2, t.y1, t.y2, t.id AS tid, list_distance(q.x, t.x) AS d FROM e q JOIN e t ON q.id <> t.id), k AS (SELECT *, row_number() OVER (PARTITION BY id, train_grp ORDER BY d, tid) AS r FROM p), m AS (SELECT id, train_grp, test_grp, a1, a2, avg(y1) AS p1, avg(y2) AS p2 FROM k WHERE r <= 5 GROUP BY ALL) SELECT train_grp, test_grp, round(sqrt(avg((pow(a1 - p1, 2) + pow(a2 - p2, 2)) / 2)), 5) AS rms, count(*) AS n FROM m GROUP BY 1, 2")
+def cross_predict(spark, d):
+    return ml.cross_predict(_emb(spark, d), 5).select("train_grp", "test_grp", r("rms", "rms"), "n")
+
+
+@query(f"WITH {_XY}, {_AS}, g AS (SELECT kmeans_3 AS label, count(*) AS c FROM k GROUP BY 1) SELECT CAST(i AS INT) AS label, coalesce(c, 0) AS count, round(coalesce(c, 0) / CAST((SELECT sum(c) FROM g) AS DOUBLE), 6) AS share FROM (SELECT unnest([0, 1, 2]) AS i) s LEFT JOIN g ON g.label = i")
+def label_prevalence(spark, d):
+    return ml.global_prevalence(ml.assign_by_centroids(_xy(spark, d), ["ax", "ay", "bx"], CENTROIDS), "kmeans_3", 3).select("label", "count", r("share", "share", 6))
+
+
 @query(f"WITH {_XY} SELECT {KEY}, round(sqrt((pow(ax - bx, 2) + pow(ay - ax, 2)) / 2), 5) AS rms FROM q")
 def rms_error(spark, d):
     return cols(ml.rms_error(_xy(spark, d), ["ax", "ay"], ["bx", "ax"]), r("rms", "rms"))
