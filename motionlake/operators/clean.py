@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,6 +117,23 @@ def smooth_all(pose: PoseFrame, window: int | None = 3, method: str = "mean", ov
     return pose.with_frames(f.drop(*cols), steps)
 
 
+def smooth(pose: PoseFrame, params: Mapping[str, tuple[str, int | None]]) -> PoseFrame:
+    """Trailing window over x, y and z by (method, window) of every point; a point without entry raises. Older form of ``smooth_all``."""
+    lacking = set(pose.points) - set(params)
+    if lacking:
+        raise ValueError(f"no parameters for {sorted(lacking)}")
+    return smooth_all(pose, None, overrides=[([p], m, k) for p, (m, k) in params.items()], dims=DIMS, strict=True)
+
+
+def smoothing_params(pose: PoseFrame, points: Sequence[Sequence[str]], methods: Sequence[str], windows: Sequence[int]) -> dict[str, tuple[str, int]]:
+    """(method, window) per point from lists of points with one method and window each; for ``smooth``."""
+    out = {p: (m, k) for some, m, k in zip(points, methods, windows, strict=True) for p in some}
+    unknown = set(out) - set(pose.points)
+    if unknown:
+        raise ValueError(f"unknown points {sorted(unknown)}")
+    return out
+
+
 def interpolate(pose: PoseFrame, method: str = "linear", limit: int = 1, dims: Sequence[str] = DIMS) -> PoseFrame:
     """Fill at most ``limit`` nulls at the start of each gap, by row position; all likelihoods become null.
 

@@ -99,6 +99,27 @@ def with_boundary(pose: PoseFrame, boundaries: DataFrame) -> DataFrame:
     return null_safe_join(pose.frames, boundaries, ENTITY, "left")
 
 
+def _vertices(pose: PoseFrame, points: Sequence[str], median: bool) -> tuple[DataFrame, list]:
+    """Frames and the vertices of the boundary through the points: their medians, or where they are in each frame."""
+    if not median:
+        return pose.frames, exprs.point_vertices(points)
+    return with_boundary(pose, define_boundary(pose, points)), exprs.boundary_vertices("boundary", len(points))
+
+
+def within_boundary(pose: PoseFrame, point: str, boundary: Sequence[str], median: bool = True) -> PoseFrame:
+    """Older form of the static (``median``) and dynamic boundary test; adds the conventionally named column."""
+    f, v = _vertices(pose, boundary, median)
+    name = named(f"within_boundary_{'static' if median else 'dynamic'}", point, boundary_id(boundary))
+    return pose.with_frames(f.withColumn(name, exprs.contains(F.col(f"{point}.x"), F.col(f"{point}.y"), v)).drop("boundary"))
+
+
+def distance_to_boundary(pose: PoseFrame, point: str, boundary: Sequence[str], median: bool = True) -> PoseFrame:
+    """Older form of the static (``median``) and dynamic distance to a boundary."""
+    f, v = _vertices(pose, boundary, median)
+    name = named(f"distance_to_boundary_{'static' if median else 'dynamic'}", point, boundary_id(boundary))
+    return pose.with_frames(f.withColumn(name, exprs.distance_to_outline(F.col(f"{point}.x"), F.col(f"{point}.y"), v)).drop("boundary"))
+
+
 def ellipse_from_params(pose: PoseFrame, centre: str | Sequence[str], major: float, minor: float, angle: float = 0.0, n: int = 100) -> DataFrame:
     """(handle, take, boundary): ellipse with the given axis lengths about the median of the centre."""
     about = [centre] if isinstance(centre, str) else list(centre)

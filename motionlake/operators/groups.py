@@ -24,6 +24,29 @@ def add_tags(recordings: DataFrame, tags: DataFrame, overwrite: bool = False) ->
     return null_safe_join(recordings.drop(*clash), tags, ["handle"], "left")
 
 
+def add_usermeta(recordings: DataFrame, handle: str, meta: dict[str, str], overwrite: bool = False) -> DataFrame:
+    """Add entries to the map ``usermeta`` of a handle's recordings; present keys raise unless ``overwrite``."""
+    have = F.col("usermeta") if "usermeta" in recordings.columns else F.create_map().cast("map<string,string>")
+    d = recordings.withColumn("usermeta", F.coalesce(have, F.create_map().cast("map<string,string>")))
+    mine = F.col("handle") == F.lit(handle)
+    new = F.create_map(*[F.lit(x) for kv in meta.items() for x in kv])
+    clash = F.arrays_overlap(F.map_keys("usermeta"), F.map_keys(new))
+    if not overwrite and not d.filter(mine & clash).isEmpty():
+        raise ValueError(f"usermeta exists on {handle}")
+    kept = F.map_filter("usermeta", lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    return d.withColumn("usermeta", F.when(mine, F.map_concat(kept, new)).otherwise(F.col("usermeta")))
+
+
+def add_tag(recordings: DataFrame, handle: str, name: str, value: str, overwrite: bool = False) -> DataFrame:
+    """Set one tag of one handle; a present value raises unless ``overwrite``."""
+    have = F.col(name) if name in recordings.columns else F.lit(None).cast("string")
+    d = recordings.withColumn(name, have)
+    mine = F.col("handle") == F.lit(handle)
+    if not overwrite and not d.filter(mine & F.col(name).isNotNull()).isEmpty():
+        raise ValueError(f"{name} exists on {handle}")
+    return d.withColumn(name, F.when(mine, F.lit(value)).otherwise(F.col(name)))
+
+
 def unmatched(recordings: DataFrame, tags: DataFrame) -> DataFrame:
     """(handle, missing): handles with tags but no recording, and recordings without tags."""
     have = recordings.select("handle").filter("handle IS NOT NULL").distinct()

@@ -103,3 +103,11 @@ def to_table(entities: DataFrame, results: Sequence[DataFrame], tags: DataFrame
         t = tags.select("handle", *[F.col(c).alias(f"{prefix}{c}") for c in tags.columns if c != "handle"])
         out = null_safe_join(out, t, ["handle"], "left")
     return out
+
+
+def store(table: DataFrame, result: DataFrame, name: str, overwrite: bool = False, meta: dict | None = None) -> DataFrame:
+    """Add a named result (entity, value) to a summary table; ``meta`` travels with the column."""
+    if name in table.columns and not overwrite:
+        raise ValueError(f"{name} exists")
+    value = next(c for c in result.columns if c not in ENTITY)
+    return null_safe_join(table.drop(name), result.select(*ENTITY, F.col(value).alias(name, metadata=meta or {})), ENTITY, "left")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionlake import collection
 from motionlake.functions import exprs
 from motionlake.functions.chunked import null_safe_join
 from motionlake.model import ENTITY, FRAME, PoseFrame, detector_frames
-from motionlake.operators import bfa, clean, features, groups, labels, ml, multiview, summary
-from motionlake.session import read_table
+from motionlake.operators import bfa, clean, features, groups, labels, ml, multiview, predictors, summary
+from motionlake.session import read_table, shared_dir
+from motionlake.sources import pose_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -494,3 +497,46 @@ def triangulate(spark, d):
     eye = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)])
     v = v.select("handle", FRAME, F.col("l1.p1.x").alias("u1"), F.col("l1.p1.y").alias("v1"), F.col("l1.p1.likelihood").alias("l1"), F.col("r1.p1.x").alias("u2"), F.col("r1.p1.y").alias("v2"), F.col("r1.p1.likelihood").alias("l2"), "k1", "d1", "k2", "d2", eye.alias("r"), "t")
     return multiview.stereo_triangulate(v).select("handle", FRAME, "xyz", "likelihood")
+
+
+# --- collections, readers, predictors ---------------------------------------------------------
+
+
+@query(f"WITH {FR}, n AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY handle, take) AS n FROM f {W}) SELECT {KEY}, p1x AS x FROM n WHERE rn > 10 AND rn <= n - 5 AND frame <= 400")
+def slices(spark, d):
+    return cols(collection.Collection(pose(spark, d)).iloc(10, -5).loc(None, 400).pose.frames, F.col("p1.x").alias("x"))
+
+
+@query(f"WITH {FR}, {_TAGS} SELECT f.handle, f.take, frame, round((p1x - p2x) * 2 / p3x, 5) AS ratio, p1l > 0.8 AND NOT (p2l > 0.8) AS odd FROM f JOIN g ON f.handle = g.handle JOIN recordings r {ON.format('f', 'r')} WHERE treatment = 'high'")
+def group_algebra(spark, d):
+    p = pose(spark, d)
+    rec = groups.add_tags(p.recordings, groups.normalised(read_table(spark, d, "tags"), TAGS)).filter("treatment IS NOT NULL")
+    c = collection.Collection(PoseFrame(p.frames, rec)).groupby("treatment").get_group(["high"])
+    x = {n: c.result(F.col(f"p{n}.x")) for n in (1, 2, 3)}
+    odd = c.result(F.col("p1.likelihood") > 0.8) & ~c.result(F.col("p2.likelihood") > 0.8)
+    c = c.store("ratio", (x[1] - x[2]) * 2 / x[3]).store("odd", odd)
+    return cols(c.pose.frames, r("ratio", "ratio"), "odd")
+
+
+_CUT = """cut AS (SELECT file_id, line_no, line, [trim(CASE WHEN c LIKE '"%' THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END) FOR c IN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1)] AS cells FROM {} WHERE trim(line) <> '')"""
+
+
+@query(f"WITH {_CUT.format('yolo3r_raw')}, h AS (SELECT file_id, max(cells) AS names FROM cut WHERE cells[1] = 'frame_index' GROUP BY 1), j AS (SELECT cut.*, names FROM cut JOIN h ON cut.file_id = h.file_id WHERE TRY_CAST(cells[1] AS DOUBLE) IS NOT NULL) SELECT CAST(file_id AS VARCHAR) AS path, CAST(trunc(CAST(cells[1] AS DOUBLE)) AS BIGINT) AS frame, " + ", ".join(f"CASE WHEN isnan(TRY_CAST(cells[list_position(names, '{a}')] AS DOUBLE)) THEN NULL ELSE TRY_CAST(cells[list_position(names, '{a}')] AS DOUBLE) END AS {b}" for a, b in (("p1.x", "x"), ("p2.y", "y"), ("p3.conf", "likelihood"))) + " FROM j")
+def read_detector_lines(spark, d):
+    t = read_table(spark, d, "yolo3r_raw").select(F.col("file_id").cast("string").alias("path"), "line").filter(F.trim("line") != "")
+    return pose_csv.parse_keypoints(t, "yolo3r").select("path", FRAME, F.col("p1.x").alias("x"), F.col("p2.y").alias("y"), F.col("p3.likelihood").alias("likelihood"))
+
+
+@query(f"WITH {_EM}, p AS (SELECT q.id, t.id AS tid, t.y1, t.y2, list_distance(q.x, t.x) AS d FROM e q JOIN e t ON q.id % 20 = 0 AND t.grp <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM p) SELECT id, round(avg(y1), 5) AS y1, round(avg(y2), 5) AS y2 FROM k WHERE r <= 5 GROUP BY id")
+def knn_predictor(spark, d):
+    """The stated query set: ids divisible by 20, predicted from the rows of all labels but one by a saved and loaded bundle."""
+    e = _emb(spark, d)
+    path = f"{shared_dir(spark)}/motionlake-bundle-{uuid.uuid4().hex}"
+    predictors.KNNPredictor(5).fit(e.filter("grp <> 0")).save(path)
+    p = predictors.KNNPredictor.load(spark, path).predict(e.filter("id % 20 = 0"))
+    return p.select("id", r(F.get("y", F.lit(0)), "y1"), r(F.get("y", F.lit(1)), "y2"))
+
+
+@query(f"WITH {_XY} SELECT {KEY}, CASE WHEN ax IS NOT NULL AND ay IS NOT NULL THEN CAST(ax + ay > 1000 AS DOUBLE) END AS label FROM q")
+def classify(spark, d):
+    return cols(predictors.classify(_xy(spark, d), ["ax", "ay"], lambda f: (f["ax"] + f["ay"] > 1000).astype(float), "label"), "label")

@@ -1,13 +1,14 @@
-"""Saving and loading: Parquet or CSV partitioned by handle, with a manifest of the schema and metadata."""
+"""Saving and loading: Parquet or CSV, with a manifest of the schema and metadata."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionlake.model import PoseFrame
+from motionlake.model import ENTITY, PoseFrame
 
 VERSION = 1
 
@@ -34,7 +35,9 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def save_pose(pose: PoseFrame, path: str, overwrite: bool = False) -> None:
-    save(pose.frames, f"{path}/frames", overwrite=overwrite, partition_by=("handle",), meta={"steps": json.loads(json.dumps(pose.steps))})
+    # hashed and sorted by recording, so that a handle's frames lie together without a folder for each handle
+    frames = pose.frames.withColumn("_part", F.floor(F.col("frame") / 65_536)).repartition(*ENTITY, "_part").drop("_part").sortWithinPartitions(*ENTITY, "frame")
+    save(frames, f"{path}/frames", overwrite=overwrite, meta={"steps": json.loads(json.dumps(pose.steps))})
     save(pose.recordings, f"{path}/recordings", overwrite=overwrite)
 
 
