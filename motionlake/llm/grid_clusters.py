@@ -1,6 +1,6 @@
 """Grouping records into similarity clusters: grid density clustering over several grids.
 
-Unit vectors are quantised (two steps per axis) on rotated axes, once per grid, so that a cell holds a few
+Unit vectors are quantised (two steps per axis) on rotated axes, once per grid, so that a cell holds some tens of
 unrelated rows. Within a cell rows are linked to the first row they reach (the quantised floats decide where they
 can, the floats elsewhere); a cell with linked rows is dense and their number its density. Dense cells that differ in
 one axis are adjacent: they are joined where their first rows reach each other, and cells of different grids are
@@ -35,7 +35,7 @@ from motionlake.llm import vectors as V
 from motionlake.session import materialise
 
 #: Unrelated rows a cell should hold, and the chance that a smallest group at just the threshold is less than half linked.
-FILL, MISS, MOST_GRIDS = 4.0, 1e-3, 500
+FILL, MISS, MOST_GRIDS = 64.0, 1e-3, 500
 PART_ROWS, SEED_BLOCK, TILE = 8192, 20_000, 512
 #: Slack of single precision in all comparisons with the threshold.
 SLACK = 1e-6
