@@ -2,9 +2,9 @@
 
 Unit vectors are quantised (two steps per axis) on rotated axes, once per grid, so that a cell holds some tens of
 unrelated rows. Within a cell rows are linked to the first row they reach (the quantised floats decide where they
-can, the floats elsewhere); a cell with linked rows is dense and their number its density. Dense cells that differ in
-one axis are adjacent: they are joined where their first rows reach each other, and cells of different grids are
-joined where they share rows. Minimum labels are propagated over these links to convergence.
+can, the floats elsewhere); a cell with linked rows is dense and their number its density. Cells of different grids are
+joined where they share rows; dense cells that differ in one axis are adjacent: those of sets that are still small are
+joined where their first rows reach each other. Minimum labels are propagated over these links to convergence.
 
 The number of axes follows the rows, the number of grids follows the axes: by simulation, as many as leave a smallest group
 with all pairs at just the threshold less than half linked with a chance of at most ``MISS``. Half is enough, because
@@ -192,9 +192,13 @@ def verified(pairs: DataFrame, vecs: DataFrame, dim: int, all_pairs: float) -> D
     return both.mapInArrow(run, "row_id long, rep long")
 
 
-def adjacent(found: DataFrame, axes: int) -> DataFrame:
-    """(row_id, rep): first rows of dense cells that differ in one axis, and of the parts of one cell."""
-    firsts = materialise(found.filter("row_id = rep").select("cell", "part", "rep", "n"))
+def adjacent(found: DataFrame, rows: DataFrame, axes: int, least: int) -> DataFrame:
+    """(row_id, rep): first rows of dense cells that differ in one axis, and of the parts of one cell.
+
+    Only sets (row_id, label) that are not half linked yet need their neighbours; the others are compared with all rows anyway."""
+    small = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < seed_rows(least)).select("label")
+    small = rows.join(small, "label", "left_semi").select(F.col("row_id").alias("rep"))
+    firsts = materialise(found.filter("row_id = rep").select("cell", "part", "rep", "n").join(small, "rep", "left_semi"))
     dense = firsts.groupBy("cell").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("rep"))
     axis = F.explode(F.sequence(F.lit(0), F.lit(axes - 1)))
     each = dense.select("cell", "rep", axis.alias("axis")).select(F.col("cell").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("axis")))).alias("key"), "axis", "rep")
@@ -226,7 +230,7 @@ def labelled(vecs: DataFrame, dim: int, all_pairs: float, least: int, grids: int
     pairs = materialise(found.filter("sure").select("row_id", "rep").union(true).union(true.select("rep", "rep")).union(alone).distinct())
     rows = materialise(propagated(pairs))
     # adjacent dense cells matter only where their labels differ still
-    ends = adjacent(found, axes).join(rows.withColumnRenamed("label", "a"), "row_id").join(rows.select(F.col("row_id").alias("rep"), F.col("label").alias("b")), "rep")
+    ends = adjacent(found, rows, axes, least).join(rows.withColumnRenamed("label", "a"), "row_id").join(rows.select(F.col("row_id").alias("rep"), F.col("label").alias("b")), "rep")
     apart = ends.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("row_id", "rep")).alias("p"))
     apart = materialise(apart.select("a", "b", "p.row_id", "p.rep"))
     if not apart.isEmpty():
