@@ -212,7 +212,7 @@ def value_similarity(a, b) -> float | None:
         width = max(p[4] - p[0], q[4] - q[0], 1e-9 + 0.1 * max(abs(p[2]), abs(q[2])))
         return math.exp(-float(np.abs(p - q).mean()) / width)
 
-    scaled = [0.9 * alike(100 * p, q) for p, q in ((qa, qb), (qb, qa)) if 0 <= p[0] and p[4] <= 1]
+    scaled = [0.9 * alike(100 * p, q) for p, q in ((qa, qb), (qb, qa)) if 0 <= p[0] and p[4] <= 1 + 2 * BIN]  # up to the error of a bin
     return max(alike(qa, qb), *scaled, 0.0)
 
 

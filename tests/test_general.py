@@ -168,3 +168,13 @@ def test_blocks_of_a_file_meet_its_header(spark, monkeypatch):
     whole = rows(rejects.classify_lines(lines(spark, {1: DLC + body}), "dlc", "dlc_single"), "line_id", "cells", "reason")
     monkeypatch.setattr(rejects, "BLOCK_LINES", 4)
     assert rows(rejects.classify_lines(lines(spark, {1: DLC + body}), "dlc", "dlc_single"), "line_id", "cells", "reason") == whole
+
+
+def test_shares_and_percents_are_alike_up_to_the_bin_error():
+    def field(v):
+        b, n = np.unique(drift.bins_of(np.array(v, float)), return_counts=True)
+        return {"steps": 40, "rises": 20, "sketch": [{"bin": int(x), "count": int(c)} for x, c in zip(b, n)]}
+
+    share = [1.0] * 10 + [0.9] * 20 + [0.8] * 10
+    assert drift.value_similarity(field(share), field([round(100 * v) for v in share])) > 0.8
+    assert drift.value_similarity(field([28.0, 29.0, 30.0] * 9), field([2800.0, 2900.0, 3000.0] * 9)) < drift.VALUES_LEAST
